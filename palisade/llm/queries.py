@@ -3,12 +3,15 @@
 import hashlib
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import scratch
 from palisade.llm.chat_template import format_conversations, read_turns, unguard
+from palisade.llm.packing import pack_documents
+from palisade.llm.quality import judge_quality
 from palisade.llm.sharding import shard_documents, text_bytes
 from palisade.llm.url_graph import judge_urls
 from palisade.llm.warc import read_warc, write_warc
@@ -113,5 +116,15 @@ select page_id, payload_bytes,
 from d"""
 
 
-QUERIES = {"op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
+def op2_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {"op2_ngram_ratio": op2_ngram_ratio, "op8_large_item_matching": op8_large_item_matching,
+           "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
 ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
