@@ -1,44 +1,72 @@
 """Quality rules: plain counts, and a log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
-Both multinomials are counts of hashed words and word pairs: the raw one over every document, the trusted one over a
+Both multinomials are counts of hashed words and byte triples of words: the raw one over every document, the trusted one over a
 bounded sample of documents labelled good. A document's score is the mean log ratio of its n-grams, so length doesn't
 count; a document below the threshold goes, whatever else is in the table.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import MIX, WordHashes, flat_hashes, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, mix, slices, window_hashes, window_owner, words_of
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
-THRESHOLD = -0.5
+PRIOR = 20.0
+THRESHOLD = -0.25
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
-def _ngrams(flat: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and word pairs, and the texts that they are in."""
-    shift = np.uint64(64 - (buckets - 1).bit_length())
-    one = (flat * MIX[0]) >> shift
-    at, owner = window_owner(starts, 2)
-    two = (window_hashes(flat, 2)[at] * MIX[3]) >> shift if len(at) else one[:0]
-    return np.concatenate([one, two]).astype(np.int64), np.concatenate([np.repeat(np.arange(len(starts) - 1), np.diff(starts)), owner])
+class Slice:
+    """N-grams of some texts: each word, and the three bytes around each of its bytes (a space at either end)."""
+
+    def __init__(self, word_lists: Iterable[list[bytes]], buckets: int):
+        numbers: dict[bytes, int] = {}
+        flat, sizes = [], []
+        for words in word_lists:
+            sizes.append(len(words))
+            flat += [numbers.setdefault(w, len(numbers)) for w in words]
+        self.flat = np.array(flat, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        shift, n = np.uint64(64 - (buckets - 1).bit_length()), len(numbers)
+        self.word = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), dtype=np.uint64, count=n)) >> shift
+        text = np.frombuffer(b" " + b" ".join(numbers) + b" ", dtype=np.uint8)
+        code = text.astype(np.uint64)
+        code = (code[:-2] << np.uint64(16)) | (code[1:-1] << np.uint64(8)) | code[2:]
+        inside = text[1:-1] != 32
+        self.byte_at = (np.cumsum(text == 32)[1:-1] - 1)[inside]  # the word that each belongs to
+        self.bytes = mix(code[inside] + MIX[3]) >> shift
+        self.grams = np.bincount(self.byte_at, minlength=n) + 1
+        self.buckets = buckets
+
+    def counts(self) -> np.ndarray:
+        often = np.bincount(self.flat, minlength=len(self.word)).astype(np.float64)
+        return (np.bincount(self.bytes.astype(np.int64), weights=often[self.byte_at], minlength=self.buckets)
+                + np.bincount(self.word.astype(np.int64), weights=often, minlength=self.buckets))
+
+    def per_text(self, of_word: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(of_word[self.flat])])
+        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+
+    def scores(self, ratio: np.ndarray) -> np.ndarray:
+        of_word = np.bincount(self.byte_at, weights=ratio[self.bytes.astype(np.int64)], minlength=len(self.word)) + ratio[self.word.astype(np.int64)]
+        return self.per_text(of_word) / np.maximum(self.per_text(self.grams.astype(np.float64)), 1)
 
 
 def _count(texts: DataFrame, buckets: int) -> np.ndarray:
     """Counts by bucket over every row; tasks add up their own first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = np.zeros(buckets, dtype=np.int64), WordHashes()
+        total = np.zeros(buckets)
         for b in batches:
             for (part,) in slices(b, 0):
-                found, _ = _ngrams(*flat_hashes(map(words_of, part), cache), buckets)
-                total += np.bincount(found, minlength=buckets)
+                total += Slice(map(words_of, part), buckets).counts()
         used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["bucket", "n"])
 
     out = np.zeros(buckets)
     for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -46,8 +74,8 @@ def _count(texts: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """Log ratio of target to raw frequency by bucket, with add-one smoothing.
+def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, prior: float = PRIOR) -> np.ndarray:
+    """Log ratio of target to raw frequency by bucket, shrunk to 0 where the target should hold few by chance.
 
     The target is at most target_rows documents with label quality 1 and toxic not 1, those with the smallest hash of
     their id; the raw counts are of every document. Without labelled documents the target is the corpus itself, so every
@@ -60,7 +88,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     target = _count(texts.join(F.broadcast(trusted), "_id", "left_semi").select("text"), buckets)  # at most target_rows ids
     if not target.sum():
         target = raw
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log((target + prior) / (expected + prior))
 
 
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -72,7 +101,7 @@ def _repeated(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     at, owner = window_owner(starts, 3)
     covered = np.zeros(len(flat) + 3, dtype=bool)
     if len(at):
-        keys = window_hashes(flat, 3)[at] ^ (owner.astype(np.uint64) * MIX[3])
+        keys = window_hashes(flat.astype(np.uint64), 3)[at] ^ mix(owner.astype(np.uint64) + MIX[3])
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         twice = at[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
@@ -84,26 +113,20 @@ def _repeated(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def measure(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and score of every document; a text without words scores 0."""
-    buckets = len(ratio)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             for ids, texts in slices(b, 1):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-                flat, starts = flat_hashes((x.split() for x in raw), cache)
-                found, owner = _ngrams(flat, starts, buckets)
-                n = np.maximum(np.bincount(owner, minlength=len(ids)), 1)
+                part = Slice((x.split() for x in raw), len(ratio))
                 dup = []
                 for t in texts:
                     lines = [x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
                     dup.append(len(lines) - len(set(lines)))
                 yield pa.record_batch([
-                    pa.array(ids, pa.int64()), pa.array(np.diff(starts)),
+                    pa.array(ids, pa.int64()), pa.array(np.diff(part.starts)),
                     pa.array([len(t or "") - len(x) + len(x.translate(None, SPACES)) for t, x in zip(texts, raw, strict=True)], pa.int64()),
                     pa.array([len(x) - len(x.translate(None, SYMBOLS)) for x in raw], pa.int64()), pa.array(dup, pa.int64()),
-                    pa.array(_repeated(flat, starts).astype(np.int64)),
-                    pa.array(np.bincount(owner, weights=ratio[found], minlength=len(ids)) / n)], schema=_ARROW)
+                    pa.array(_repeated(part.flat, part.starts).astype(np.int64)), pa.array(part.scores(ratio))], schema=_ARROW)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, COUNTS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import scratch
 from palisade.llm.chat_template import format_conversations, read_turns, unguard
+from palisade.llm.html_model import extract_pages
 from palisade.llm.packing import pack_documents
 from palisade.llm.quality import judge_quality
 from palisade.llm.sharding import shard_documents, text_bytes
@@ -125,6 +126,11 @@ def op8_large_item_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op2_ngram_ratio": op2_ngram_ratio, "op8_large_item_matching": op8_large_item_matching,
+def op1_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_dom_sum_product": op1_dom_sum_product,
+           "op2_ngram_ratio": op2_ngram_ratio, "op8_large_item_matching": op8_large_item_matching,
            "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
 ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
