@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import scratch
 from palisade.llm.chat_template import format_conversations, read_turns, unguard
+from palisade.llm.edit_match import find_matches
 from palisade.llm.html_model import extract_pages
 from palisade.llm.packing import pack_documents
 from palisade.llm.quality import judge_quality
@@ -130,7 +131,11 @@ def op1_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {"op1_dom_sum_product": op1_dom_sum_product,
-           "op2_ngram_ratio": op2_ngram_ratio, "op8_large_item_matching": op8_large_item_matching,
+           "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op8_large_item_matching": op8_large_item_matching,
            "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
 ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
