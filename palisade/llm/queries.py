@@ -15,6 +15,7 @@ from palisade.llm.html_model import extract_pages
 from palisade.llm.packing import pack_documents
 from palisade.llm.quality import judge_quality
 from palisade.llm.sharding import shard_documents, text_bytes
+from palisade.llm.substring_dedup import remove_repeats
 from palisade.llm.url_graph import judge_urls
 from palisade.llm.warc import read_warc, write_warc
 
@@ -135,7 +136,11 @@ def op4_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sketched_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {"op1_dom_sum_product": op1_dom_sum_product,
-           "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op8_large_item_matching": op8_large_item_matching,
+           "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op7_sketched_windows": op7_sketched_windows, "op8_large_item_matching": op8_large_item_matching,
            "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
 ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
