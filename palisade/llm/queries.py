@@ -12,6 +12,7 @@ from palisade.llm import scratch
 from palisade.llm.chat_template import format_conversations, read_turns, unguard
 from palisade.llm.edit_match import find_matches
 from palisade.llm.html_model import extract_pages
+from palisade.llm.jaccard_groups import join_near
 from palisade.llm.packing import pack_documents
 from palisade.llm.quality import judge_quality
 from palisade.llm.sharding import shard_documents, text_bytes
@@ -140,7 +141,11 @@ def op7_sketched_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_near(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_dom_sum_product": op1_dom_sum_product,
-           "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op7_sketched_windows": op7_sketched_windows, "op8_large_item_matching": op8_large_item_matching,
+           "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op6_token_groups": op6_token_groups, "op7_sketched_windows": op7_sketched_windows, "op8_large_item_matching": op8_large_item_matching,
            "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
 ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
