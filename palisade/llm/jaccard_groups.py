@@ -280,3 +280,20 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     whole = whole.withColumnRenamed("id", "_id")
     return (sets.select("id", "n").join(whole, F.col("id") == F.col("_id"), "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each component, the one with its smallest id; all columns unchanged.
+
+    Rows without words are all kept but for repeats of an id; rows with a null id are all kept.
+    """
+    found = scratch.cut(join_near(docs, id_col, text_col, **options), "components")
+    gone = scratch.cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    often = scratch.cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_often")), "often")
+    own = F.col(id_col).cast("long")
+    bounded = lambda x, n: F.broadcast(x) if n <= BROADCAST_IDS else x
+    kept = docs.join(bounded(gone, gone.count()), own == F.col("_gone"), "left_anti")
+    if n := often.count():
+        once = kept.join(bounded(often, n), own == F.col("_often"), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(bounded(often, n), own == F.col("_often"), "left_anti").unionByName(once)
+    return kept

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import MIX, mix, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, mix, parts, slices, window_hashes, window_owner, words_of
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -141,3 +141,19 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = measure(docs, fit_ratio(docs, labels, id_col, text_col, **fit), id_col, text_col)
     return (counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
             .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """The rows of docs that judge_quality keeps, all their columns unchanged, in one narrow pass."""
+    ratio = fit_ratio(docs, labels, id_col, text_col, **fit)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in parts(b, at):
+                s = Slice(map(words_of, part.column(at).to_pylist()), len(ratio))
+                n = np.diff(s.starts)
+                good = (n >= 50) & (100 * _repeated(s.flat, s.starts) <= 50 * n) & (s.scores(ratio) >= threshold)
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,12 +1,14 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
+_label: list[str | None] = [None]
 
 
 def folder(spark: SparkSession) -> str:
@@ -22,9 +24,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path below folder(); clear() deletes what is there."""
+    """A new path below folder(), under the label of the time; clear() deletes what is there."""
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, _label[0]))
     return path
 
 
@@ -41,17 +43,27 @@ def drop(path: str, spark: SparkSession) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table written so far; DataFrames that read them can't be used after it."""
-    mine = [x for x in _written if x[0] is spark]
-    _written[:] = [x for x in _written if x[0] is not spark]
-    for _, path in mine:
+def clear(spark: SparkSession, label: str | None = None) -> None:
+    """Delete every table written under the label; DataFrames that read them can't be used after it."""
+    mine = [x for x in _written if x[0] is spark and x[2] == label]
+    _written[:] = [x for x in _written if x not in mine]
+    for _, path, _ in mine:
         drop(path, spark)
 
 
+@contextlib.contextmanager
+def labelled(label: str):
+    """Tables placed within stand under the label."""
+    before, _label[0] = _label[0], label
+    try:
+        yield
+    finally:
+        _label[0] = before
+
+
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
             if spark.sparkContext._jsc is not None:
                 drop(path, spark)

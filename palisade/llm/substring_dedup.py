@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import scratch
-from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, slices, window_owner, words_of
+from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, parts, slices, window_owner, words_of
 
 WINDOW = 50
 CHUNK_BITS = 16
@@ -169,15 +169,20 @@ def cover(words: list[bytes], at: list[int] | None, everything: bool, window: in
     return [words[i] for i in np.flatnonzero(keep)], int(len(words) - keep.sum())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_row: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row of docs; kept_text has the kept words joined by one space.
 
     A word goes if a window that covers it also starts in a document with a smaller id; windows are those of the input.
     Words are runs of anything but ASCII white space. A null or short text has no window; rows with a null id are neither
-    changed nor held against others; rows with one id count as one document. Further columns are dropped.
+    changed nor held against others; rows with one id count as one document. Further columns are dropped; with_row adds
+    a struct `row` of all columns of docs.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *row)
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "n": F.coalesce(F.octet_length("text"), F.lit(0))})
     long_enough = rows.filter(f"id is not null and n >= {2 * window - 1}")  # a window has that many bytes
     keys = long_enough.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("n").alias("n"))
@@ -198,22 +203,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, part, everything, positions in slices(b, 1):
+            for part in parts(b, 1):
                 done = []
-                for text, whole, at in zip(part, everything, positions, strict=True):
+                for text, whole, at in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     words = words_of(text)
                     kept, n = cover(words, at, whole and len(words) >= window, window)
                     done.append((len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass")))
-                yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.record_batch([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)), *part.columns[4:]], ["doc_id", "n_words", "n_removed", "kept_text", "row"][:4 + with_row])
 
     whole = rows.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    carried = ["row"] if with_row else []
     nothing = F.lit(None).cast("array<int>")
     if marks.count() <= BROADCAST_IDS:  # then only the texts that change are exchanged
         ids = F.broadcast(marks.select("m_id", "m_text"))
         on = (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text"))
-        some = whole.join(ids, on, "left_semi").join(marks, on).select("id", "text", "copy", "at")
-        rest = whole.join(ids, on, "left_anti").select("id", "text", "copy", nothing.alias("at"))
+        some = whole.join(ids, on, "left_semi").join(marks, on).select("id", "text", "copy", "at", *carried)
+        rest = whole.join(ids, on, "left_anti").select("id", "text", "copy", nothing.alias("at"), *carried)
         whole = some.unionByName(rest)
     else:
-        whole = whole.join(marks, (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text")), "left").select("id", "text", "copy", "at")
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+        whole = whole.join(marks, (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text")), "left").select("id", "text", "copy", "at", *carried)
+    return whole.mapInArrow(run, RESULT + f", row {rows.schema['row'].dataType.simpleString()}" if with_row else RESULT)
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the repeated words taken out of the text; a text that loses none keeps its white space, and a row of
+    which nothing is left goes. A column n_chars is set to the new text's length; other columns pass."""
+    out = remove_repeats(docs, id_col, text_col, with_row=True, **options).filter("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("row")[text_col]).otherwise(F.col("kept_text"))
+    new = {text_col: text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row")["n_chars"]).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {text_col: text}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -66,8 +66,8 @@ def window_owner(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(sizes.sum()) - first[owner] + starts[:-1][owner], owner
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
-    """Columns of the batch as lists, in slices of about `most` bytes of text (a longer text stands alone)."""
+def parts(batch: pa.RecordBatch, text_at: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of text (a longer text stands alone)."""
     sizes = [x or 0 for x in pa.compute.binary_length(batch.column(text_at)).to_pylist()]
     at = 0
     while at < len(sizes):
@@ -75,6 +75,11 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_CHARS) -> Iter
         while end < len(sizes) and (end == at or held + sizes[end] <= most):
             held += sizes[end]
             end += 1
-        part = batch.slice(at, end - at)
-        yield tuple(c.to_pylist() for c in part.columns)
+        yield batch.slice(at, end - at)
         at = end
+
+
+def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
+    """The columns of such parts, as lists."""
+    for part in parts(batch, text_at, most):
+        yield tuple(c.to_pylist() for c in part.columns)
