@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.llm.scratch import cut
+from palisade.sources.scratch import cut
 
 FIRST_BITS, STEP_BITS = 12, 8
 
