@@ -102,7 +102,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    first = F.struct((F.coalesce(F.col("page_id"), F.lit(-(2**63))) * -1).alias("i"), F.coalesce("url", F.lit("")).alias("u"), "page_id", "url")
+    first = F.struct(F.bitwise_not(F.coalesce(F.col("page_id"), F.lit(-(2**63)).cast("long"))).alias("i"), F.coalesce("url", F.lit("")).alias("u"), "page_id", "url")
     repeated = (rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("r"))
                 .filter("n > 1").select(F.col("sha").alias("_sha"), F.col("r.page_id").alias("ref_id"), F.col("r.url").alias("ref_url"), F.lit(True).alias("_found")))
     repeated = scratch.cut(repeated, "payloads")
