@@ -4,6 +4,7 @@ Every choice is a hash of (seed, row, slot), so a seed always gives the same que
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.folding import split_words
@@ -107,7 +108,8 @@ def generate_positive_queries(akas: DataFrame, entities: DataFrame, n_entities:
     people = entities.filter("entity_type = 'Individual'").select("entity_id", "programs")
     listed = (latin.join(people, "entity_id").filter(F.size(split_words(F.col("aka_name"))) >= 2)
               .withColumn("program", F.coalesce(F.try_element_at("programs", F.lit(1)), F.lit("UNKNOWN"))).select("entity_id", "aka_name", "program"))
-    some = sample_rows(listed, n_entities, seed, "entity_id", "aka_name").withColumn("row", F.monotonically_increasing_id())
+    again = F.row_number().over(W.partitionBy("entity_id", "aka_name").orderBy("program"))  # rows may repeat
+    some = sample_rows(listed.withColumn("again", again), n_entities, seed, "entity_id", "aka_name", "again").withColumn("row", F.monotonically_increasing_id())
     kinds = F.array(*[F.lit(k) for k in VARIANTS])
     order = F.transform(F.array_sort(F.transform(kinds, lambda k: F.struct(F.xxhash64(F.lit(seed), "row", k).alias("h"), k.alias("k")))), lambda x: x["k"])
     slots = some.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants_per_entity - 1))).alias("slot")).withColumn("order", order)

@@ -30,9 +30,9 @@ SCHEMAS = {
                 "LocationPart array<struct<_LocPartTypeID: string, LocationPartValue: array<struct<Value: string>>>>",
     "IDRegDocument": "_IdentityID string, _IDRegDocTypeID string, `_IssuedBy-CountryID` string, _ValidityID string, IDRegistrationNo array<string>",
     "DistinctParty": "_FixedRef string, Profile struct<_ID: string, _PartySubTypeID: string, Identity: array<struct<_ID: string, Alias: array<struct<_AliasTypeID: string, _Primary: string, _LowQuality: string, "
-                     "DocumentedName: struct<DocumentedNamePart: array<struct<NamePartValue: array<struct<_ScriptID: string, _VALUE: string>>>>>>>>, "
+                     "DocumentedName: struct<DocumentedNamePart: array<struct<NamePartValue: array<struct<_ScriptID: string, _VALUE: string>>>>>>>>>, "
                      "Feature: array<struct<_FeatureTypeID: string, FeatureVersion: array<struct<VersionLocation: array<struct<_LocationID: string, _VALUE: string>>, "
-                     f"DatePeriod: struct<Start: struct<From: {_DATE}, Year: string, Month: string, Day: string>>, VersionDetail: array<struct<_DetailReferenceID: string, _VALUE: string>>>>>>",
+                     f"DatePeriod: struct<Start: struct<From: {_DATE}, Year: string, Month: string, Day: string>>, VersionDetail: array<struct<_DetailReferenceID: string, _VALUE: string>>>>>>>",
     "ProfileRelationship": "`_From-ProfileID` string, `_To-ProfileID` string, _RelationTypeID string, _RelationQualityID string, _Former string"}
 
 
