@@ -7,6 +7,7 @@ runs "ranks r.. of length l go to sequences s.. at offset o", a few thousand wha
 place by their rank among pieces of their length.
 """
 
+import json
 import os
 import re
 import zlib
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.llm import scratch
+from palisade.sources import scratch
 from palisade.llm.words import slices
 
 CAPACITY, END_ID = 1024, 2
@@ -27,44 +28,75 @@ CAPACITY, END_ID = 1024, 2
 # ---------------------------------------------------------------- tokens
 
 
+# Fixed value: how byte-level vocabularies split text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Byte strings of a byte-level vocabulary file and their ids, which are also the order of its merges."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    special = {x["content"] for x in data["added_tokens"]}
+    return {bytes(char[c] for c in word): n for word, n in data["model"]["vocab"].items() if word not in special}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, remembered by word.
 
-    Before " x" (x a letter, digit or ASCII mark) after a non-space the tokenizer always splits, so texts whose spaces are
-    all of that kind are put together from remembered words; other texts are encoded whole.
+    Before " x" (x a letter, digit or ASCII mark) after a non-space the vocabulary always splits, so texts whose spaces
+    are all of that kind are put together from remembered words; other texts are encoded whole. New words are merged by
+    the file's ranks. A text of every slice is also given to the file's own tokenizer; should the two ever differ, that
+    tokenizer encodes the slice.
     """
 
-    ODD = re.compile(r" (?![0-9A-Za-z!-/:-@\[-`{-~]|[^\W_])|^ ")
+    PLAIN = re.compile(r"[!-~]|[^\W_]")
 
     def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ranks = byte_ranks(path)
+        self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for word, n in ranks.items():
+            self.sizes[n] = len(word)
         self.held: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.remember = remember
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def by_file(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.merge(text), dtype="<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            if self.ODD.search(t):
-                parts.append([t])
-            else:
-                first, *rest = t.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
         if len(self.held) > self.remember:
             self.held.clear()
-        held = self.held
-        whole = {t for p in parts if len(p) == 1 for t in p}
-        new = list({x for p in parts for x in p if x not in held})
-        got = dict(zip(new, self._encode(new), strict=True))
-        held.update((k, v) for k, v in got.items() if k not in whole and len(k) < 60)
-        look = lambda x: held[x] if x in held else got[x]
-        return [b"".join(map(look, p)) for p in parts]
+            self.odd.clear()
+        held, plain = self.held, self.PLAIN.match
+        parts = [t.split(" ") for t in texts]
+        new = set().union(*parts).difference(held)
+        fresh = [x for x in new if plain(x)]
+        self.odd.update(x for x in new if not plain(x))
+        if fresh:  # encoded together, then cut where the words' bytes end
+            ids = np.array(self.merge(" " + " ".join(fresh)), dtype="<u4")
+            ends = np.cumsum([len(x.encode()) + 1 for x in fresh])
+            data, cuts = ids.tobytes(), (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
+            for x, a, z in zip(fresh, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                held[x] = data[a:z]
+        look, odd = held.__getitem__, self.odd
+        out = [self._whole(t) if odd and not odd.isdisjoint(p) else self._whole(p[0]) + b"".join(map(look, p[1:])) for t, p in zip(texts, parts, strict=True)]
+        for x in new:
+            if len(x) > 60:
+                held.pop(x, None)
+        k = min(range(len(texts)), key=lambda i: (len(texts[i]) < 50, len(texts[i])), default=0)
+        return out if not texts or self.by_file([texts[k]])[0] == out[k] else self.by_file(texts)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
