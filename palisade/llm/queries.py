@@ -145,7 +145,28 @@ def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) >= 4 then list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+  when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 85 * (na.n + nb.n - shared)),
+edges as (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id as seen from w union select reach.doc_id, edges.b from reach join edges on edges.a = reach.seen)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from w left join n using (doc_id) join (select doc_id, min(seen) as component_id from reach group by doc_id) c using (doc_id)"""
+
+OP7_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+k as (select doc_id, i as place, md5(array_to_string(words[i:i + 49], ' ')) as key from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+f as (select key, min(doc_id) as first from k group by key),
+g as (select distinct doc_id, place + j as i from k join f using (key), range(50) r(j) where f.first < k.doc_id),
+u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from u anti join g using (doc_id, i) group by doc_id)
+select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+
 QUERIES = {"op1_dom_sum_product": op1_dom_sum_product,
            "op2_ngram_ratio": op2_ngram_ratio, "op4_pigeonhole_edits": op4_pigeonhole_edits, "op6_token_groups": op6_token_groups, "op7_sketched_windows": op7_sketched_windows, "op8_large_item_matching": op8_large_item_matching,
            "op3_template_compiler": op3_template_compiler, "op5_histogram_shards": op5_histogram_shards, "op9_link_trust": op9_link_trust, "op10_segment_reassembly": op10_segment_reassembly}
-ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op10_segment_reassembly": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_template_compiler": OP3_SQL, "op6_token_groups": OP6_SQL, "op7_sketched_windows": OP7_SQL, "op10_segment_reassembly": OP10_SQL}
