@@ -51,18 +51,18 @@ def program_explode_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROWTH_SQL = """with m as (select {by} last_day(o_orderdate) as month_end, count(*) as added from orders where o_orderdate is not null group by all),
 span as (select {by} date_trunc('month', min(month_end)) as lo, date_trunc('month', max(month_end)) as hi from m {group}),
 every as (select {by} last_day(unnest(generate_series(lo, hi, interval 1 month))) as month_end from span)
-select {by} cast(month_end as date) as month_end, cast(coalesce(added, 0) as bigint) as added, cast(sum(coalesce(added, 0)) over ({part} order by month_end) as bigint) as cumulative
+select {by} cast(cast(month_end as date) as varchar) as month_end, cast(coalesce(added, 0) as bigint) as added, cast(sum(coalesce(added, 0)) over ({part} order by month_end) as bigint) as cumulative
 from every left join m using ({by} month_end)"""
 
 
 @query(GROWTH_SQL.format(by="", group="", part=""))
 def monthly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.monthly_growth(table(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate")
+    return profile.monthly_growth(table(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate").withColumn("month_end", F.col("month_end").cast("string"))
 
 
 @query(GROWTH_SQL.format(by="o_orderstatus,", group="group by o_orderstatus", part="partition by o_orderstatus"))
 def monthly_growth_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.monthly_growth(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus"), "o_orderdate", ("o_orderstatus",))
+    return profile.monthly_growth(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus"), "o_orderdate", ("o_orderstatus",)).withColumn("month_end", F.col("month_end").cast("string"))
 
 
 def _order_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +419,7 @@ def explain_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Who supplies whom, as a graph: nations that supply to nations by line items, without self-loops."""
+    """Suppliers and the customers they deliver to, thinned to pairs whose keys agree modulo 7 so that the graph has several components."""
     l, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c, s = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     pairs = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_suppkey", "c_custkey")
