@@ -1,19 +1,22 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of its word shingles; two link when the sets' Jaccard similarity reaches the threshold. Sets are
-put in one order (often-used shingles last), of which each keeps a prefix: so many first tokens that two sets that link
-have at least `SHARED` tokens in common within their prefixes. Then:
-
-1. Equal sets are one (their smallest id stands for all).
-2. For each prefix token, sets that hold it are paired with the smallest id among them; pairs that share enough are
+A document is the set of its word shingles; two link when the sets' Jaccard similarity reaches the threshold.
+
+1. One pass gives each set's size and digest, and one bit for each hashed cell of tokens: do two documents or more hold
+   a token of this cell? The bits are the matrix with all documents as one group: they bound from above how many of a
+   set's tokens any other set can hold.
+2. Equal sets are one (their smallest id stands for all). A set with too few tokens that others can hold links with
+   none and is done. Of the others, the tokens that others can hold are put in one order (often-used ones last), and a
+   prefix is kept: so many that two sets that link have at least `SHARED` tokens in common within their prefixes.
+3. For each prefix token, sets that hold it are paired with the smallest id among them; pairs that share enough are
    verified on the whole texts. Their components are the groups of similar documents.
-3. The token-group matrix has a row for each prefix token and group: the union of the tokens of a group's members. A
+4. The token-group matrix has a row for each prefix token and group: the union of the tokens of a group's members. A
    query document is matched with every higher-ranking group by its prefix tokens; the count of hits bounds its overlap
-   with any member from above, so a group with too few hits stays closed. Members of opened groups (of a fitting size)
-   are verified against the query.
-4. Components over all links.
+   with any member, so a group with too few hits, or without members of a fitting size, stays closed. Members of opened
+   groups are verified against the query.
+5. Components over all links.
 
-Step 3 alone finds every link between groups and step 2 makes the groups, so no link that joins two components is lost,
+Step 4 alone finds every link between groups and step 3 makes the groups, so no link that joins two components is lost,
 while members of one group are never paired with each other.
 """
 
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from palisade.sources import scratch
 from palisade.operators.components import components
+from palisade.llm import sketch
 from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, slices, window_hashes, window_owner, words_of
 
-SHINGLE, PERCENT, SHARED = 4, 85, 3
+SHINGLE, PERCENT, SHARED = 4, 85, 8
 HEAVY_ROWS = 200_000
 HEAVY_PER_TASK = 20_000
 BROADCAST_IDS = 1_000_000
@@ -69,54 +73,96 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def prefix_size(n, percent: int):
-    return n - least_overlap(n, percent) + np.minimum(SHARED, least_overlap(n, percent))
+SURVEY = "kind int, id long, n long, d1 long, d2 long, cells binary, twice binary"
+_SURVEY = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("cells", pa.binary()), ("twice", pa.binary())])
 
 
-def heavy_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Often-used tokens and their counts, by token: at most HEAVY_ROWS of what tasks saw most often.
+def _rows(kind: int, *columns) -> pa.RecordBatch:
+    size = len(columns[0])
+    arrays = [pa.array(np.full(size, kind, np.int32))]
+    for field, column in zip(list(_SURVEY)[1:], (*columns, *[None] * 6), strict=False):
+        arrays.append(pa.nulls(size, field.type) if column is None else pa.array(column, field.type))
+    return pa.record_batch(arrays, schema=_SURVEY)
 
-    They only set the order of tokens, which can be any; the better they are, the shorter the lists of postings.
-    """
+
+def cells_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(tokens + MIX[3]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """docs: id, text. Rows of kind 0: each set's size and digest; 1: cells of tokens by chunk (in id); 2: often-used
+    tokens (in id) and their counts (in n), at most HEAVY_PER_TASK of each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, tokens, counts = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            chunk, cells, twice = sketch.packed(np.concatenate(held))
+            held.clear()
+            return _rows(1, chunk, None, None, None, cells, twice)
+
         for b in batches:
-            for (part,) in slices(b, 0):
-                new, often = np.unique(Sets(part, cache, size).values, return_counts=True)
+            for ids, texts in slices(b, 1):
+                s = Sets(texts, cache, size)
+                yield _rows(0, ids, s.n, s.digest(MIX[0]), s.digest(MIX[1]))
+                if not len(s.values):
+                    continue
+                held.append(cells_of(s.values, bits))
+                new, often = np.unique(s.values, return_counts=True)
                 new, often = new[often > 2], often[often > 2]
                 tokens, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
                 counts = np.bincount(where, weights=np.concatenate([counts, often]), minlength=len(tokens)).astype(np.int64)
                 if len(tokens) > HEAVY_PER_TASK:
                     top = np.sort(np.argpartition(counts, -HEAVY_PER_TASK)[-HEAVY_PER_TASK:])
                     tokens, counts = tokens[top], counts[top]
-        yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(counts)], ["token", "n"])
+                if sum(map(len, held)) > 2 << 20:
+                    yield out()
+        if held:
+            yield out()
+        if len(tokens):
+            yield _rows(2, tokens.view(np.int64), counts)
 
-    found = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_ROWS)
-    rows = sorted((np.int64(r["token"]).view(np.uint64), r["n"]) for r in found.collect())
-    return np.array([t for t, _ in rows], dtype=np.uint64), np.array([n for _, n in rows], dtype=np.int64)
+    return docs.mapInArrow(run, SURVEY)
 
 
-SETS = "id long, n long, d1 long, d2 long, prefix binary"
+def heavy_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Often-used tokens and their counts, by token: at most HEAVY_ROWS of what tasks saw most often.
+
+    They only set the order of tokens, which can be any; the better they are, the shorter the lists of postings.
+    """
+    top = found.filter("kind = 2").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HEAVY_ROWS)
+    rows = sorted((np.int64(r["id"]).view(np.uint64), r["n"]) for r in top.collect())
+    return np.array([t for t, _ in rows], dtype=np.uint64), np.array([n for _, n in rows], dtype=np.int64)
 
 
-def prefix_sets(docs: DataFrame, heavy, size: int, percent: int) -> DataFrame:
-    """docs: id, text. Size, digest and prefix tokens (8 bytes each) of every row's set."""
+def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> DataFrame:
+    """docs: id, text. id, n, d1, prefix tokens (8 bytes each) of the sets that can link with another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (tokens, counts) = WordHashes(), heavy.value
+        cache, (tokens, counts, bitmap) = WordHashes(), held.value
         for b in batches:
             for ids, texts in slices(b, 1):
                 s = Sets(texts, cache, size)
-                often = np.zeros(len(s.values), np.int64)
+                due = least_overlap(s.n, percent)
+                common = sketch.is_set(bitmap, cells_of(s.values, bits))
+                n_common = np.bincount(s.owner, weights=common, minlength=len(s.n)).astype(np.int64)
+                able = np.flatnonzero((s.n > 0) & (n_common >= due) & np.array([i is not None for i in ids], bool))
+                if not len(able):
+                    continue
+                common &= ((s.n > 0) & (n_common >= due))[s.owner]
+                values, owner = s.values[common], s.owner[common]
+                often = np.zeros(len(values), np.int64)
                 if len(tokens):
-                    k = np.minimum(np.searchsorted(tokens, s.values), len(tokens) - 1)
-                    often = np.where(tokens[k] == s.values, counts[k], 0)
-                order = np.lexsort((s.values, often, s.owner))
-                values = s.values[order]
-                most = prefix_size(s.n, percent)
-                prefixes = [values[a:a + m].tobytes() for a, m in zip(s.starts, most, strict=False)]
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s.n), pa.array(s.digest(MIX[0])), pa.array(s.digest(MIX[1])), pa.array(prefixes, pa.binary())], ["id", "n", "d1", "d2", "prefix"])
+                    k = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+                    often = np.where(tokens[k] == values, counts[k], 0)
+                order = np.lexsort((values, often, owner))
+                values = values[order]
+                starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(s.n)))])
+                most = n_common - due + np.minimum(SHARED, due)
+                d1 = s.digest(MIX[0])
+                yield pa.record_batch([pa.array([ids[i] for i in able], pa.int64()), pa.array(s.n[able]), pa.array(d1[able]),
+                                       pa.array([values[starts[i]:starts[i] + most[i]].tobytes() for i in able], pa.binary())], ["id", "n", "d1", "prefix"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, "id long, n long, d1 long, prefix binary")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -209,38 +255,50 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, per_task:
     return heads.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").mapInArrow(run, "a long, b long")
 
 
-def matrix_candidates(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, id) of a query and a member of a group that it opens. groups: id, grp, rank (of the group) for every id in shared."""
-    rows = shared.select("token", "id", "n").join(groups, "id").select("token", "grp", "size", "id", "n")
+def matrix_candidates(shared: DataFrame, groups: DataFrame, percent: int, block: int = 1 << 18) -> DataFrame:
+    """Pairs (hub, id) of a query and a member of a group that it opens.
+
+    groups: id, grp, size, low, high (members, and the smallest and largest set) for every id in shared. A task holds the
+    postings of one token, and `block` probes at a time.
+    """
+    rows = shared.select("token", "id", "n").join(groups, "id").select("token", "size", "grp", "id", "n", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, size, grp, ids, n in _runs(batches):
+        for token, _, grp, ids, n, low, high in _runs(batches):
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-            mixed = np.zeros(len(cuts) - 1, bool)
             other = np.concatenate([[0], np.cumsum(grp[1:] != grp[:-1])])
             mixed = other[cuts[1:] - 1] != other[cuts[:-1]]
-            out = []
+            out, waiting = [], 0
             for a, z in zip(cuts[:-1][mixed], cuts[1:][mixed], strict=True):
                 g = grp[a:z]
                 new = np.concatenate([[True], g[1:] != g[:-1]])
-                unions, mine = g[new], np.cumsum(new) - 1  # the matrix row of this token; groups stand by rank
-                above = len(unions) - 1 - mine
-                query = np.repeat(np.arange(a, z), above)
-                if len(query):
-                    start = np.concatenate([[0], np.cumsum(above)])[:-1]
-                    to = np.arange(len(query)) - np.repeat(start, above) + np.repeat(mine + 1, above)
-                    out.append((ids[query], n[query], unions[to]))
-                if sum(len(x[0]) for x in out) > 1 << 18:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "grp"])
-                    out = []
+                at = np.flatnonzero(new) + a  # the matrix row of this token: its groups, by rank
+                mine = np.cumsum(new) - 1
+                above = len(at) - 1 - mine
+                done = np.concatenate([[0], np.cumsum(above)])
+                q = 0
+                while q < z - a:
+                    end = max(q + 1, int(np.searchsorted(done, done[q] + block, side="right")) - 1)
+                    query = np.repeat(np.arange(q, end), above[q:end])
+                    to = at[np.arange(len(query)) - (done[query] - done[q]) + mine[query] + 1]
+                    query += a
+                    fit = (100 * n[query] >= percent * low[to]) & (100 * high[to] >= percent * n[query])
+                    query, to = query[fit], to[fit]
+                    if len(query):
+                        out.append((ids[query], n[query], grp[to]))
+                        waiting += len(query)
+                    if waiting > block:
+                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "grp"])
+                        out, waiting = [], 0
+                    q = end
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "grp"])
 
-    probes = (rows.select("token", "size", "grp", "id", "n").repartition("token").sortWithinPartitions("token", "size", "grp")
-              .mapInArrow(run, "hub long, hub_n long, grp long"))
-    # at least SHARED hits are due, but fewer where either set has fewer tokens to share
+    probes = rows.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "hub long, hub_n long, grp long")
+    # SHARED hits are due, but fewer where either set has fewer tokens to share
+    fewest = F.floor((percent * F.floor((F.col("hub_n") * percent + 99) / 100) + 99) / 100)
     opened = (probes.groupBy("hub", "grp").agg(F.count(F.lit(1)).alias("hits"), F.first("hub_n").alias("hub_n"))
-              .filter(F.col("hits") >= F.least(F.lit(SHARED), F.floor((percent * F.floor((F.col("hub_n") * percent + 99) / 100) + 99) / 100))))
+              .filter(F.col("hits") >= F.least(F.lit(SHARED), fewest)))
     members = shared.select("id", "n").distinct().join(groups.select("id", "grp"), "id")
     return (opened.join(members, "grp").filter((100 * F.least("hub_n", "n") >= percent * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("id")))
             .select("hub", "id"))
@@ -255,26 +313,32 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_tokens(rows.select("text"), size))
-    sets = scratch.cut(prefix_sets(rows, heavy, size, percent), "sets")
-    heavy.unpersist()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch.bits_for(total / 3)  # about two cells for each word
+    found = scratch.cut(survey(rows, size, bits), "survey")
+    bitmap = sketch.merged(found.filter("kind = 1").select(F.col("id").alias("chunk"), "cells", "twice"), bits)[0]
+    held = spark.sparkContext.broadcast((*heavy_tokens(found), bitmap))
+    sets = found.filter("kind = 0").select("id", "n", "d1", "d2")
     usable = sets.filter("id is not null and n > 0")
     first = usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("d1", "d2", "n", "first")
-    copies = scratch.cut(usable.select("id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).filter("id > first").select("id", F.col("first").alias("rep"), "d1"), "copies")
+    copies = scratch.cut(usable.join(first, ["d1", "d2", "n"]).filter("id > first").select("id", F.col("first").alias("rep"), "d1"), "copies")
     some = copies.select("id", "d1")
     if copies.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
-    shared = scratch.cut(shared_postings(postings(usable.join(some, ["id", "d1"], "left_anti"))), "shared")
+    prefixes = prefix_sets(rows, held, size, percent, bits).join(some, ["id", "d1"], "left_anti")
+    shared = scratch.cut(shared_postings(postings(prefixes)), "shared")
+    held.unpersist()
 
     star = (shared.filter("id <> lead").groupBy(F.col("lead").alias("hub"), "id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-            .filter(F.col("hits") >= F.greatest(F.lit(1), F.floor((F.col("n") * (100 - percent)) / 400))))
+            .filter((F.col("hits") >= SHARED // 2) | (F.col("n") < 2 * SHARED)))
     links = scratch.cut(verify(star, rows, size, percent), "links")
     known = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     grouped = components(known)
     ids = shared.select("id").distinct()
     groups = ids.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    groups = scratch.cut(groups.join(sizes, "grp").select("id", "grp", "size"), "groups")
+    sizes = (groups.join(shared.select("id", "n").distinct(), "id").groupBy("grp")
+             .agg(F.count_distinct("id").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")))
+    groups = scratch.cut(groups.join(sizes, "grp").select("id", "grp", "size", "low", "high"), "groups")
     more = scratch.cut(verify(matrix_candidates(shared, groups, percent), rows, size, percent), "more")
     whole = grouped if more.isEmpty() else components(known.unionByName(more))
     whole = whole.withColumnRenamed("id", "_id")

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.sources import scratch
+from palisade.llm import sketch
 from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, parts, slices, window_owner, words_of
 
 WINDOW = 50
-CHUNK_BITS = 16
 ROWS = 2
 BROADCAST_IDS = 1_000_000
 
@@ -57,29 +57,21 @@ def cells_of(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def sketch_bits(total_bytes: int) -> int:
-    """Cells a row (as a power of 2): about six for each minimiser that so many bytes hold, at most 2**29 (64 MB of bits)."""
-    return int(min(29, max(CHUNK_BITS, np.ceil(np.log2(max(1, total_bytes / 80) * 6)))))
+    """Cells a row (as a power of 2): about six for each minimiser that so many bytes hold."""
+    return sketch.bits_for(total_bytes / 80 * 6)
 
 
 def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
-    """Bits (packed, one array a row) of the cells that at least two documents' minimisers fall into."""
+    """Bits (one array a row) of the cells that at least two documents' minimisers fall into."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
 
         def out() -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
-                if not held[r]:
-                    continue
-                cells = np.sort(np.concatenate(held[r]))
-                first = np.concatenate([[True], cells[1:] != cells[:-1]])
-                cells, twice = cells[first], np.diff(np.append(np.flatnonzero(first), len(cells))) > 1
-                chunk, low = cells >> CHUNK_BITS, (cells & ((1 << CHUNK_BITS) - 1)).astype("<u2")
-                cuts = np.flatnonzero(np.diff(chunk)) + 1
-                yield pa.record_batch([
-                    pa.array((chunk[np.concatenate([[0], cuts])] * ROWS + r).astype(np.int32)),
-                    pa.array([x.tobytes() for x in np.split(low, cuts)]), pa.array([np.packbits(x).tobytes() for x in np.split(twice, cuts)])], ["chunk", "cells", "twice"])
-                held[r].clear()
+                if held[r]:
+                    yield pa.record_batch([pa.array(x) for x in sketch.packed(np.concatenate(held[r]), ROWS, r)], ["chunk", "cells", "twice"])
+                    held[r].clear()
 
         for b in batches:
             for (part,) in slices(b, 0):
@@ -88,53 +80,23 @@ def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
                 if not len(least):
                     continue
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
-                key = np.unique(np.stack([owner[new].astype(np.uint64), least[new]]), axis=1)[1] if new.any() else least[:0]
+                key = np.unique(np.stack([owner[new].astype(np.uint64), least[new]]), axis=1)[1]
                 for r, cells in enumerate(cells_of(key, bits)):
                     held[r].append(cells)
                 if sum(map(len, held[0])) > 1 << 20:
                     yield from out()
         yield from out()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, more, now = None, None, None
-
-        def done():
-            return pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(more).tobytes()])], ["chunk", "bits"])
-
-        for b in batches:
-            for chunk, cells, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if chunk != now:
-                    if now is not None:
-                        yield done()
-                    now, once, more = chunk, np.zeros(1 << CHUNK_BITS, bool), np.zeros(1 << CHUNK_BITS, bool)
-                low = np.frombuffer(cells, "<u2")
-                more[low[once[low]]] = True
-                once[low] = True
-                more[low[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(low)).astype(bool)]] = True
-        if now is not None:
-            yield done()
-
-    parts = texts.mapInArrow(gather, "chunk int, cells binary, twice binary")
-    merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary")
-    out = np.zeros((ROWS, 1 << (bits - 3)), dtype=np.uint8)
-    size = 1 << (CHUNK_BITS - 3)
-    for r in merged.toLocalIterator():
-        chunk, row = divmod(r["chunk"], ROWS)
-        out[row, chunk * size:(chunk + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+    return sketch.merged(texts.mapInArrow(gather, "chunk long, cells binary, twice binary"), bits, ROWS)
 
 
 WINDOWS = "w1 long, w2 long, id long, text long, at int"
 
 
-def repeated_windows(texts: DataFrame, sketch, bits: int, window: int) -> DataFrame:
-    """Windows that the sketch holds for repeated. texts: id, text, hash of the text; sketch: a Spark broadcast."""
+def repeated_windows(texts: DataFrame, held, bits: int, window: int) -> DataFrame:
+    """Windows that the sketch holds for repeated. texts: id, text, hash of the text; held: the sketch as a Spark broadcast."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bitmaps = WordHashes(), sketch.value
+        cache, bitmaps = WordHashes(), held.value
         for b in batches:
             for ids, part, hashes in slices(b, 1):
                 flat, starts = flat_hashes(map(words_of, part), cache)
@@ -143,7 +105,7 @@ def repeated_windows(texts: DataFrame, sketch, bits: int, window: int) -> DataFr
                     continue
                 keep = np.ones(len(at), bool)
                 for bitmap, cells in zip(bitmaps, cells_of(least, bits), strict=True):
-                    keep &= _set(bitmap, cells)
+                    keep &= sketch.is_set(bitmap, cells)
                 at, owner = at[keep], owner[keep]
                 if not len(at):
                     continue
@@ -193,9 +155,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = long_enough.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     texts = marked.filter("not copy").select("id", "text", "h1")
     bits = sketch_bits(total)
-    sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, window))
-    found = scratch.cut(repeated_windows(texts, sketch, bits, window), "windows")
-    sketch.unpersist()
+    held = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, window))
+    found = scratch.cut(repeated_windows(texts, held, bits, window), "windows")
+    held.unpersist()
     firsts = (found.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
               .select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first"))
     later = found.join(firsts, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2")) & (F.col("id") > F.col("first")))

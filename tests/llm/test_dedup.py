@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from palisade.llm import jaccard_groups, substring_dedup
+from palisade.llm import jaccard_groups, sketch, substring_dedup
 from tests.llm.helpers import corpus, documents, tokens
 
 
@@ -42,6 +42,12 @@ def test_components_without_broadcasts(spark, monkeypatch, broadcast):
     assert got == brute_components(corpus())
 
 
+def test_components_with_an_overfull_sketch(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "is_set", lambda bitmap, cells: cells >= 0)
+    got = Counter(tuple(r) for r in jaccard_groups.join_near(documents(spark)).collect())
+    assert got == brute_components(corpus())
+
+
 def test_links_between_groups_are_found(spark):
     """Chains whose ends don't meet, so that groups must query each other."""
     base = [f"t{k}" for k in range(200)]
@@ -87,8 +93,7 @@ def test_removed_words_equal_brute_force(spark, monkeypatch, broadcast):
 
 
 def test_overfull_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "sketch_bits", lambda n: 16)
-    monkeypatch.setattr(substring_dedup, "CHUNK_BITS", 10)
+    monkeypatch.setattr(sketch, "MOST_BITS", 16)
     rows = corpus()[:40]
     got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.remove_repeats(documents(spark, rows)).collect())
     assert got == brute_removed(rows)
