@@ -53,7 +53,7 @@ class Encoder:
 
     PLAIN = re.compile(r"[!-~]|[^\W_]")
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer

@@ -9,14 +9,14 @@ import xxhash
 
 #: Odd multipliers for mixing hashes, from the splitmix64 generator.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
 
 
 class WordHashes(dict):
     """Hash of a word, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
