@@ -12,8 +12,8 @@ A document is the set of its word shingles; two link when the sets' Jaccard simi
    verified on the whole texts. Their components are the groups of similar documents.
 4. The token-group matrix has a row for each prefix token and group: the union of the tokens of a group's members. A
    query document is matched with every higher-ranking group by its prefix tokens; the count of hits bounds its overlap
-   with any member, so a group with too few hits, or without members of a fitting size, stays closed. Members of opened
-   groups are verified against the query.
+   with any member, so a group with too few hits, or without members of a fitting size, stays closed. Large groups are
+   kept in boxes with a union each. Members of opened boxes are verified against the query.
 5. Components over all links.
 
 Step 4 alone finds every link between groups and step 3 makes the groups, so no link that joins two components is lost,
@@ -136,7 +136,7 @@ def heavy_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> DataFrame:
-    """docs: id, text. id, n, d1, prefix tokens (8 bytes each) of the sets that can link with another."""
+    """docs: id, text. id, n, d1, how many tokens are its own, prefix tokens (8 bytes each) of sets that can link with another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (tokens, counts, bitmap) = WordHashes(), held.value
         for b in batches:
@@ -159,20 +159,27 @@ def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> Da
                 starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(s.n)))])
                 most = n_common - due + np.minimum(SHARED, due)
                 d1 = s.digest(MIX[0])
-                yield pa.record_batch([pa.array([ids[i] for i in able], pa.int64()), pa.array(s.n[able]), pa.array(d1[able]),
-                                       pa.array([values[starts[i]:starts[i] + most[i]].tobytes() for i in able], pa.binary())], ["id", "n", "d1", "prefix"])
+                yield pa.record_batch([pa.array([ids[i] for i in able], pa.int64()), pa.array(s.n[able]), pa.array(d1[able]), pa.array((s.n - n_common)[able]),
+                                       pa.array([values[starts[i]:starts[i] + most[i]].tobytes() for i in able], pa.binary())], ["id", "n", "d1", "own", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, prefix binary")
+    return docs.mapInArrow(run, "id long, n long, d1 long, own long, prefix binary")
+
+
+POSTINGS = "token long, own long, id long, n long, first long"
 
 
 def postings(sets: DataFrame) -> DataFrame:
+    """A row for each prefix token; first is the set's first one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, sizes, prefixes in slices(b, 2):
+            for ids, sizes, own, prefixes in slices(b, 3):
                 lengths = [len(p) // 8 for p in prefixes]
-                yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], ["token", "id", "n"])
+                tokens = np.frombuffer(b"".join(prefixes), np.int64)
+                each = lambda x: pa.array(np.repeat(np.array(x, np.int64), lengths))  # noqa: B023, E731
+                firsts = tokens[np.concatenate([[0], np.cumsum(lengths)])[:-1]]
+                yield pa.record_batch([pa.array(tokens), each(own), each(ids), each(sizes), each(firsts)], ["token", "own", "id", "n", "first"])
 
-    return sets.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long")
+    return sets.select("id", "n", "own", "prefix").mapInArrow(run, POSTINGS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -193,31 +200,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """Postings of tokens that two sets or more hold, each with the least id that holds the token. Streams sorted rows."""
+    """Postings of tokens that two sets or more hold, each with the lead of its token: the set with the fewest tokens of its
+    own, which lies in the middle of its near copies. Streams sorted rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # a run may go on over batches: its token, first id, and the first posting while it is the only one
+        names = ["token", "id", "n", "first", "lead"]
+        before = None  # a run may go on over batches: its token and lead, and its first posting while that is the only one
         for b in batches:
             if not b.num_rows:
                 continue
-            token, ids, n = (c.to_numpy() for c in b.columns)
-            first = np.concatenate([[before is None or token[0] != before[0]], token[1:] != token[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(token)), -1))
+            token, _, ids, n, firsts = (c.to_numpy() for c in b.columns)
+            start = np.concatenate([[before is None or token[0] != before[0]], token[1:] != token[:-1]])
+            at = np.maximum.accumulate(np.where(start, np.arange(len(token)), -1))
             lead = np.where(at >= 0, ids[at], before[1] if before else 0)
-            more = np.concatenate([~first[1:], [False]])  # the next row has the same token
-            keep = ~first | more
-            if before and before[2] is not None and not first[0]:
-                yield pa.record_batch([pa.array([before[0]]), pa.array([before[1]]), pa.array([before[2]]), pa.array([before[1]])], ["token", "id", "n", "lead"])
-            single = first[-1]
-            before = (token[-1], lead[-1], n[-1] if single else None)
+            keep = ~start | np.concatenate([~start[1:], [False]])  # or the next row has the same token
+            if before and before[2] is not None and not start[0]:
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in (before[0], before[1], *before[2], before[1])], names)
+            before = (token[-1], lead[-1], (n[-1], firsts[-1]) if start[-1] else None)
             if keep.any():
-                yield pa.record_batch([pa.array(token[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(lead[keep])], ["token", "id", "n", "lead"])
+                yield pa.record_batch([pa.array(x[keep]) for x in (token, ids, n, firsts, lead)], names)
 
-    return (found.repartition("token").sortWithinPartitions("token", "id")
-            .mapInArrow(run, "token long, id long, n long, lead long"))
+    return (found.repartition("token").sortWithinPartitions("token", "own", "id")
+            .mapInArrow(run, "token long, id long, n long, first long, lead long"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, per_task: int = 2000) -> DataFrame:
-    """The pairs (hub, id) whose whole texts' sets link, as a, b. docs: id, text, one row an id at least.
+    """The pairs (hub, id) whose whole texts' sets link, as a, b. docs: id, text, one row an id at least (each of its texts counts).
 
     Pairs are gathered by hub; a hub with many partners is copied to several tasks. A task holds one hub's set at a time.
     """
@@ -226,81 +233,95 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, per_task:
     wanted = pairs.select("id").union(hubs.select("hub")).distinct()
     if pairs.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = scratch.cut(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = docs.join(wanted, "id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["id", "_h"]).drop("_h")
+    texts = scratch.cut(texts, "texts")
     members = (pairs.join(hubs, "hub").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
                .join(texts, "id").select("hub", "part", F.lit(1).alias("kind"), "id", "text"))
     heads = (hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.withColumnRenamed("id", "hub"), "hub")
              .select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("id"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, hub, own = WordHashes(), None, None
+        cache, hub, owns = WordHashes(), None, []
         for b in batches:
             for keys, _, kinds, ids, texts in slices(b, 4):
                 s, out = Sets(texts, cache, size), []
                 for i, (key, kind, other) in enumerate(zip(keys, kinds, ids, strict=True)):
-                    if kind == 0:
-                        hub, own = key, s.one(i).copy()
+                    if kind == 0:  # more than one where ids repeat
+                        owns = [*(owns if key == hub else ()), s.one(i).copy()]
+                        hub = key
                         continue
                     if key != hub:
                         raise ValueError(f"no text for {key}")
                     theirs = s.one(i)
-                    both = 0
-                    if len(own) and len(theirs):
-                        both = int((own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs).sum())
-                    if both and 100 * both >= percent * (len(own) + len(theirs) - both):
-                        out.append((hub, other))
+                    for own in owns:
+                        both = int((own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs).sum()) if len(own) and len(theirs) else 0
+                        if both and 100 * both >= percent * (len(own) + len(theirs) - both):
+                            out.append((hub, other))
+                            break
                 if out:
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return heads.unionByName(members).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").mapInArrow(run, "a long, b long")
 
 
+def boxes_of(members: DataFrame, size: int = 16) -> DataFrame:
+    """members: id, n, first, grp. With rank (the group's size), box, and the box's smallest and largest set (low, high).
+
+    Large groups are kept in boxes of about `size` members with first tokens in common, so that a box's union stays close
+    to its members.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("rank"))
+    placed = members.join(sizes, "grp").withColumn("box", F.xxhash64("grp", F.pmod(F.xxhash64("first"), F.ceil(F.col("rank") / size))))
+    spans = placed.groupBy("grp", "box").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return placed.join(spans, ["grp", "box"]).select("id", "n", "first", "grp", "rank", "box", "low", "high")
+
+
 def matrix_candidates(shared: DataFrame, groups: DataFrame, percent: int, block: int = 1 << 18) -> DataFrame:
-    """Pairs (hub, id) of a query and a member of a group that it opens.
+    """Pairs (hub, id) of a query and a member of a box that it opens; boxes of its own group stay closed.
 
-    groups: id, grp, size, low, high (members, and the smallest and largest set) for every id in shared. A task holds the
-    postings of one token, and `block` probes at a time.
+    groups: the result of boxes_of for every id in shared. A task holds the postings of one token, and `block` probes at a
+    time.
     """
-    rows = shared.select("token", "id", "n").join(groups, "id").select("token", "size", "grp", "id", "n", "low", "high")
+    rows = shared.select("token", "id", "n", "first").join(groups, ["id", "n", "first"]).select("token", "rank", "grp", "box", "id", "n", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, _, grp, ids, n, low, high in _runs(batches):
+        for token, _, grp, box, ids, n, low, high in _runs(batches):
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             other = np.concatenate([[0], np.cumsum(grp[1:] != grp[:-1])])
             mixed = other[cuts[1:] - 1] != other[cuts[:-1]]
             out, waiting = [], 0
             for a, z in zip(cuts[:-1][mixed], cuts[1:][mixed], strict=True):
-                g = grp[a:z]
-                new = np.concatenate([[True], g[1:] != g[:-1]])
-                at = np.flatnonzero(new) + a  # the matrix row of this token: its groups, by rank
-                mine = np.cumsum(new) - 1
-                above = len(at) - 1 - mine
+                new_grp = np.concatenate([[True], grp[a + 1:z] != grp[a:z - 1]])
+                new_box = new_grp | np.concatenate([[True], box[a + 1:z] != box[a:z - 1]])
+                at = np.flatnonzero(new_box) + a  # the matrix row of this token: its boxes, by their groups' rank
+                starts = np.flatnonzero(new_grp)
+                past = np.append((np.cumsum(new_box) - 1)[starts], len(at))[1:][np.cumsum(new_grp) - 1]  # the first box past the own group
+                above = len(at) - past
                 done = np.concatenate([[0], np.cumsum(above)])
                 q = 0
                 while q < z - a:
                     end = max(q + 1, int(np.searchsorted(done, done[q] + block, side="right")) - 1)
                     query = np.repeat(np.arange(q, end), above[q:end])
-                    to = at[np.arange(len(query)) - (done[query] - done[q]) + mine[query] + 1]
+                    to = at[np.arange(len(query)) - (done[query] - done[q]) + past[query]]
                     query += a
                     fit = (100 * n[query] >= percent * low[to]) & (100 * high[to] >= percent * n[query])
                     query, to = query[fit], to[fit]
                     if len(query):
-                        out.append((ids[query], n[query], grp[to]))
+                        out.append((ids[query], n[query], box[to]))
                         waiting += len(query)
                     if waiting > block:
-                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "grp"])
+                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "box"])
                         out, waiting = [], 0
                     q = end
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "grp"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["hub", "hub_n", "box"])
 
-    probes = rows.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "hub long, hub_n long, grp long")
+    probes = rows.repartition("token").sortWithinPartitions("token", "rank", "grp", "box").mapInArrow(run, "hub long, hub_n long, box long")
     # SHARED hits are due, but fewer where either set has fewer tokens to share
     fewest = F.floor((percent * F.floor((F.col("hub_n") * percent + 99) / 100) + 99) / 100)
-    opened = (probes.groupBy("hub", "grp").agg(F.count(F.lit(1)).alias("hits"), F.first("hub_n").alias("hub_n"))
+    opened = (probes.groupBy("hub", "box").agg(F.count(F.lit(1)).alias("hits"), F.first("hub_n").alias("hub_n"))
               .filter(F.col("hits") >= F.least(F.lit(SHARED), fewest)))
-    members = shared.select("id", "n").distinct().join(groups.select("id", "grp"), "id")
-    return (opened.join(members, "grp").filter((100 * F.least("hub_n", "n") >= percent * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("id")))
+    return (opened.join(groups.select("box", "id", "n"), "box").filter((100 * F.least("hub_n", "n") >= percent * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("id")))
             .select("hub", "id"))
 
 
@@ -334,11 +355,9 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     links = scratch.cut(verify(star, rows, size, percent), "links")
     known = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     grouped = components(known)
-    ids = shared.select("id").distinct()
-    groups = ids.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    sizes = (groups.join(shared.select("id", "n").distinct(), "id").groupBy("grp")
-             .agg(F.count_distinct("id").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")))
-    groups = scratch.cut(groups.join(sizes, "grp").select("id", "grp", "size", "low", "high"), "groups")
+    members = shared.select("id", "n", "first").distinct()
+    members = members.join(grouped, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("grp"))
+    groups = scratch.cut(boxes_of(members), "groups")
     more = scratch.cut(verify(matrix_candidates(shared, groups, percent), rows, size, percent), "more")
     whole = grouped if more.isEmpty() else components(known.unionByName(more))
     whole = whole.withColumnRenamed("id", "_id")

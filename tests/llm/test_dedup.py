@@ -56,6 +56,13 @@ def test_links_between_groups_are_found(spark):
     assert got == brute_components(rows)
 
 
+def test_every_text_of_a_repeated_id_counts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("p", 60), ("q", 90)))
+    rows = [(5, one), (5, two), (2, one + " end"), (9, two + " end"), (3, two)]
+    got = Counter(tuple(r) for r in jaccard_groups.join_near(documents(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
 def test_keep_one(spark):
     kept = jaccard_groups.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
