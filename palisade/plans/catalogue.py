@@ -333,11 +333,16 @@ def per_group_best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.sweep_by_group(_scored(spark, sf_dir), "lang"), *RATIOS, "max_recall")
 
 
+def _negatives(spark: SparkSession) -> DataFrame:
+    """Hard negatives and near misses, numbered together."""
+    both = querygen.generate_hard_negatives(spark).select("query_name").unionByName(querygen.generate_near_miss_negatives(spark).select("query_name"))
+    return both.select(F.monotonically_increasing_id().alias("q_ord"), "query_name")
+
+
 @query()
 def scorer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _part_corpus(spark, sf_dir), _queries(spark, sf_dir)
-    neg = querygen.generate_near_miss_negatives(spark).withColumn("q_ord", F.monotonically_increasing_id()).select("q_ord", "query_name")
-    pos, neg = screening.score_all_queries(queries, corpus), screening.score_all_queries(neg, corpus)
+    pos, neg = screening.score_all_queries(queries, corpus), screening.score_all_queries(_negatives(spark), corpus)
     curves = None
     for k in screening.SCORERS:
         part = evaluation.sweep_results(pos, neg, k)

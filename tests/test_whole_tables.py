@@ -6,7 +6,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from palisade.operators import communities
+from palisade.functions.scores import plain_scores
+from palisade.operators import communities, querygen, screening
 from palisade.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,12 @@ def test_components_of_several_groups(spark):
 def test_communities_cover_the_largest_component(spark, trade):
     sizes = [r["size"] for r in catalogue.QUERIES["community_sizes"](spark, SF).collect()]
     assert sum(sizes) == max(map(len, components_of(*trade)))
+
+
+def test_scorers_face_all_negatives(spark):
+    names = [r.query_name for df in (querygen.generate_hard_negatives(spark), querygen.generate_near_miss_negatives(spark)) for r in df.collect()]
+    listed = {n for n, in column("part", "p_name")}
+    best = {q: max(plain_scores(q, n)["jaro_winkler"] for n in listed) for q in set(names)}
+    rows = {r.scorer: r for r in catalogue.QUERIES["scorer_summary"](spark, SF).collect()}
+    assert {k: r.fp + r.tn for k, r in rows.items()} == dict.fromkeys(screening.SCORERS, 1200)
+    assert rows["jw"].fp == sum(best[q] >= rows["jw"].threshold for q in names)
