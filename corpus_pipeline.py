@@ -27,8 +27,8 @@ def _stage(work):
 
 #: Documents that fail the quality rules go.
 quality_rules = _stage(lambda spark, docs, sf_dir: keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-#: Of documents that are near duplicates, the one with the smallest id stays.
-jaccard_join = _stage(lambda spark, docs, sf_dir: keep_one(docs))
+#: Of documents that are near duplicates (80 percent of their five-word shingles), the one with the smallest id stays.
+jaccard_join = _stage(lambda spark, docs, sf_dir: keep_one(docs, size=5, percent=80))
 #: Passages of 50 words or more that an earlier document has are taken out; documents of which nothing is left go.
 substring_dedup = _stage(lambda spark, docs, sf_dir: rewrite(docs))
 #: Documents that hold a benchmark item go.
