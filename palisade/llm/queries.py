@@ -154,7 +154,8 @@ pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join
 links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 85 * (na.n + nb.n - shared)),
 edges as (select a, b from links union select b, a from links),
 reach as (select doc_id, doc_id as seen from w union select reach.doc_id, edges.b from reach join edges on edges.a = reach.seen)
-select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from w left join n using (doc_id) join (select doc_id, min(seen) as component_id from reach group by doc_id) c using (doc_id)"""
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, coalesce(k.n_links, 0) as n_links from w left join n using (doc_id)
+  join (select doc_id, min(seen) as component_id from reach group by doc_id) c using (doc_id) left join (select a as doc_id, count(*) as n_links from edges group by a) k using (doc_id)"""
 
 OP7_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),

@@ -1,6 +1,7 @@
 """Jaccard groups, substring dedup and the components they use, against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -16,6 +17,7 @@ def brute_components(rows, percent=85):
 
     items = [(i, shingles(t)) for i, t in rows if i is not None]
     label = {i: i for i, _ in items}
+    partners = {}  # of a text's set: the other documents' texts that it links with
 
     def find(x):
         while label[x] != x:
@@ -25,9 +27,11 @@ def brute_components(rows, percent=85):
     for i, a in items:
         for j, b in items:
             if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                partners.setdefault((i, a), set()).add((j, b))
+                partners.setdefault((j, b), set()).add((i, a))
                 x, y = find(i), find(j)
                 label[max(x, y)] = min(x, y)
-    return Counter((i, len(shingles(t)), None if i is None else find(i)) for i, t in rows)
+    return Counter((i, len(s := shingles(t)), None if i is None else find(i), len(partners.get((i, s), ()))) for i, t in rows)
 
 
 def test_components_equal_brute_force(spark):
@@ -56,6 +60,36 @@ def test_links_between_groups_are_found(spark):
     assert got == brute_components(rows)
 
 
+def near_copies(n, length=200, seed=3):
+    """Copies of one text with a few changed words each, so that some pairs are just over the border and some just under it."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(length)]
+    rows = []
+    for i in range(n):
+        at = rng.sample(range(length), rng.choice((2, 3, 4, 5)))
+        rows.append((i + 1, " ".join(f"c{rng.randrange(40)}" if k in at else w for k, w in enumerate(base))))
+    return rows
+
+
+@pytest.mark.parametrize("box_bytes", [1 << 20, 1 << 14])
+def test_a_large_group_at_the_border(spark, monkeypatch, box_bytes):
+    monkeypatch.setattr(jaccard_groups, "BOX_BYTES", box_bytes)
+    monkeypatch.setattr(jaccard_groups, "PART_BYTES", 4 * box_bytes)
+    rows = near_copies(400)
+    got = Counter(tuple(r) for r in jaccard_groups.join_near(documents(spark, rows)).collect())
+    want = brute_components(rows)
+    assert got == want
+    assert 0 < sum(n for *_, n in want) < 400 * 399 // 2  # some pairs link, most don't
+
+
+def test_tokens_of_many_boxes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_groups, "HOT_POSTINGS", 5)
+    monkeypatch.setattr(jaccard_groups, "BOX_BYTES", 1 << 13)
+    rows = near_copies(120) + [(1000 + i, t) for i, t in corpus() if i is not None]
+    got = Counter(tuple(r) for r in jaccard_groups.join_near(documents(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
 def test_every_text_of_a_repeated_id_counts(spark):
     one, two = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("p", 60), ("q", 90)))
     rows = [(5, one), (5, two), (2, one + " end"), (9, two + " end"), (3, two)]
@@ -67,7 +101,7 @@ def test_keep_one(spark):
     kept = jaccard_groups.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    want = {c for (_, _, c), n in brute_components(corpus()).items() if c is not None}
+    want = {c for _, _, c, _ in brute_components(corpus()) if c is not None}
     assert ids == sorted(want)
     assert kept.filter("doc_id is null").count() == 2
 
