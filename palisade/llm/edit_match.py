@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import slices
+from palisade.llm.words import bound_batches, slices
 from palisade.sources import scratch
 
 CHARS_PER_EDIT = 25
@@ -130,6 +130,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null, empty and all-punctuation texts match nothing; an item shorter than twice chars_per_edit must occur unchanged.
     Repeated rows of docs give repeated matches.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     out = None
     for block in benchmark_blocks(benchmark, item_id_col, item_text_col, block_chars):

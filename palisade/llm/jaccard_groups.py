@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palisade.sources import scratch
 from palisade.operators.components import components
 from palisade.llm import sketch
-from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, parts, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, window_hashes, window_owner, words_of
 
 SHINGLE, PERCENT, SHARED = 4, 85, 8
 BOX_BYTES = 1 << 20  # of tokens
@@ -505,6 +505,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     component has the links of all its texts. A null id has a null component and no links. Further columns are dropped.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(total / 3)  # about two cells for each word

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.sources import scratch
-from palisade.llm.words import slices
+from palisade.llm.words import bound_batches, slices
 
 CAPACITY, END_ID = 1024, 2
 
@@ -243,5 +243,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     A null or empty text is one piece, end_id alone. Repeated rows are packed each on its own, null ids too; an empty
     table gives no rows. Further columns of docs are dropped.
     """
+    bound_batches(docs.sparkSession)
     pieces = scratch.cut(tokenize_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces")
     return pack_pieces(pieces, capacity)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import MIX, mix, parts, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, bound_batches, mix, parts, slices, window_hashes, window_owner, words_of
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -81,6 +81,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     their id; the raw counts are of every document. Without labelled documents the target is the corpus itself, so every
     ratio is 0 and only the base rules decide.
     """
+    bound_batches(docs.sparkSession)
     trusted = (labels.filter("quality = 1 and coalesce(toxic, 0) <> 1").select(F.col("doc_id").cast("long").alias("_id")).distinct()
                .orderBy(F.xxhash64("_id"), "_id").limit(target_rows))
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("_id"))

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.sources import scratch
 from palisade.llm import sketch
-from palisade.llm.words import MIX, WordHashes, flat_hashes, mix, parts, slices, window_owner, words_of
+from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, window_owner, words_of
 
 WINDOW = 50
 ROWS = 2
@@ -131,20 +131,11 @@ def cover(words: list[bytes], at: list[int] | None, everything: bool, window: in
     return [words[i] for i in np.flatnonzero(keep)], int(len(words) - keep.sum())
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_row: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text for every row of docs; kept_text has the kept words joined by one space.
-
-    A word goes if a window that covers it also starts in a document with a smaller id; windows are those of the input.
-    Words are runs of anything but ASCII white space. A null or short text has no window; rows with a null id are neither
-    changed nor held against others; rows with one id count as one document. Further columns are dropped; with_row adds
-    a struct `row` of all columns of docs.
-    """
+def _marked(docs: DataFrame, id_col: str, text_col: str, window: int, carried: list[Column]) -> DataFrame:
+    """id, text, copy (of a text with a smaller id), at (where windows to remove begin) and the carried columns for every row of docs."""
     spark = docs.sparkSession
-    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *row)
+    bound_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text"), "n": F.coalesce(F.octet_length("text"), F.lit(0))})
     long_enough = rows.filter(f"id is not null and n >= {2 * window - 1}")  # a window has that many bytes
     keys = long_enough.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("n").alias("n"))
@@ -158,11 +149,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, window))
     found = scratch.cut(repeated_windows(texts, held, bits, window), "windows")
     held.unpersist()
-    firsts = (found.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-              .select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first"))
+    # written before the join, so that Spark may split a window that very many documents hold
+    firsts = scratch.cut(found.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+                         .select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first"), "firsts")
     later = found.join(firsts, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2")) & (F.col("id") > F.col("first")))
     marks = scratch.cut(later.groupBy("id", "text").agg(F.collect_list("at").alias("at")).select(F.col("id").alias("m_id"), F.col("text").alias("m_text"), "at"), "marks")
 
+    whole = rows.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    names = [c for c in rows.columns if c not in ("id", "text", "h1", "h2", "n")]
+    nothing = F.lit(None).cast("array<int>")
+    on = (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text"))
+    if marks.count() <= BROADCAST_IDS:  # then only the texts that change are exchanged
+        ids = F.broadcast(marks.select("m_id", "m_text"))
+        some = whole.join(ids, on, "left_semi").join(marks, on).select("id", "text", "copy", "at", *names)
+        rest = whole.join(ids, on, "left_anti").select("id", "text", "copy", nothing.alias("at"), *names)
+        return some.unionByName(rest)
+    return whole.join(marks, on, "left").select("id", "text", "copy", "at", *names)
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text for every row of docs; kept_text has the kept words joined by one space.
+
+    A word goes if a window that covers it also starts in a document with a smaller id; windows are those of the input.
+    Words are runs of anything but ASCII white space. A null or short text has no window; rows with a null id are neither
+    changed nor held against others; rows with one id count as one document. Further columns are dropped.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b, 1):
@@ -171,26 +185,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words = words_of(text)
                     kept, n = cover(words, at, whole and len(words) >= window, window)
                     done.append((len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass")))
-                yield pa.record_batch([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)), *part.columns[4:]], ["doc_id", "n_words", "n_removed", "kept_text", "row"][:4 + with_row])
+                yield pa.record_batch([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    whole = rows.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    carried = ["row"] if with_row else []
-    nothing = F.lit(None).cast("array<int>")
-    if marks.count() <= BROADCAST_IDS:  # then only the texts that change are exchanged
-        ids = F.broadcast(marks.select("m_id", "m_text"))
-        on = (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text"))
-        some = whole.join(ids, on, "left_semi").join(marks, on).select("id", "text", "copy", "at", *carried)
-        rest = whole.join(ids, on, "left_anti").select("id", "text", "copy", nothing.alias("at"), *carried)
-        whole = some.unionByName(rest)
-    else:
-        whole = whole.join(marks, (F.col("id") == F.col("m_id")) & (F.col("h1") == F.col("m_text")), "left").select("id", "text", "copy", "at", *carried)
-    return whole.mapInArrow(run, RESULT + f", row {rows.schema['row'].dataType.simpleString()}" if with_row else RESULT)
+    return _marked(docs, id_col, text_col, window, []).mapInArrow(run, RESULT)
 
 
-def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the repeated words taken out of the text; a text that loses none keeps its white space, and a row of
-    which nothing is left goes. A column n_chars is set to the new text's length; other columns pass."""
-    out = remove_repeats(docs, id_col, text_col, with_row=True, **options).filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") == 0, F.col("row")[text_col]).otherwise(F.col("kept_text"))
-    new = {text_col: text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row")["n_chars"]).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {text_col: text}
-    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    which nothing is left goes. A column n_chars is set to the new text's length; other columns pass.
+
+    Rows with a null id or a null or short text stay as they are; of rows that repeat id and text all stay; an empty table
+    gives an empty one.
+    """
+    others = F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("row")
+    marked = _marked(docs, id_col, text_col, window, [others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in parts(b, 1):
+                done = []
+                for text, whole, at in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    words = words_of(text) if whole or at else ()  # else nothing goes
+                    kept, n = cover(words, at, whole and len(words) >= window, window)
+                    done.append((b" ".join(kept).decode("utf-8", "surrogatepass") if n else text, n > 0, not n or n < len(words)))
+                text, changed, stays = zip(*done, strict=True)
+                yield pa.record_batch([pa.array(text, pa.string()), pa.array(changed), part.column(4)], ["text", "changed", "row"]).filter(pa.array(stays))
+
+    out = marked.mapInArrow(run, f"text string, changed boolean, row {marked.schema['row'].dataType.simpleString()}")
+    new = {c: F.col("row")[c] for c in docs.columns if c != text_col} | {text_col: F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) for c in docs.columns))

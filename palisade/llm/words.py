@@ -1,15 +1,18 @@
 """Words of texts as 64-bit hashes, a slice of rows at a time."""
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Odd multipliers for mixing hashes, from the splitmix64 generator.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 SLICE_CHARS = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 class WordHashes(dict):
@@ -22,6 +25,17 @@ class WordHashes(dict):
         return value
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand Python at most BATCH_BYTES (or one row) at a time; a smaller limit of the session stays.
+
+    Spark's own limit is 64 MB, of which a task holds copies on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]?)b?", spark.conf.get(key).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of bytes other than ASCII white space; lower changes A-Z only."""
     if not text:
