@@ -37,8 +37,8 @@ SCHEMAS = {
 
 
 def section(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Elements of that tag, with pos in document order."""
-    return spark.read.format("xml").option("rowTag", tag).schema(SCHEMAS[tag]).load(path).withColumn("pos", F.monotonically_increasing_id())
+    """Elements of that tag, with pos in document order. path: a list, or with a slash at its end a folder of sections by tag."""
+    return spark.read.format("xml").option("rowTag", tag).schema(SCHEMAS[tag]).load(path + tag if path.endswith("/") else path).withColumn("pos", F.monotonically_increasing_id())
 
 
 def text(c: Column) -> Column:
