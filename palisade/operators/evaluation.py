@@ -70,6 +70,14 @@ def best_f1(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return curve.groupBy(*by).agg(F.max(row).alias("row"), F.max("recall").alias("max_recall")).select(*by, "row.*", "max_recall").drop("_t")
 
 
+def residual_failures(pos: DataFrame, threshold: float, scorer: str = "ens") -> DataFrame:
+    """Positives (results of score_all_queries) that a scorer still misses at the threshold: reason is below_threshold, or
+    wrong_match where the best match is another entity."""
+    score, match = F.col(f"{scorer}_score"), F.col(f"{scorer}_match_id")
+    reason = F.when(F.coalesce(score, F.lit(0.0)) < threshold, "below_threshold").when(~match.eqNullSafe(F.col("true_entity_id")), "wrong_match")
+    return pos.withColumn("reason", reason).filter("reason is not null")
+
+
 def cost_at_operating_point(point: DataFrame, monthly_volume: float = 1_000_000, cost_per_alert: float = 35.0) -> DataFrame:
     """False alerts a month and a year, and what they cost, from the false positive rate."""
     monthly = F.col("fpr") * float(monthly_volume)

@@ -118,7 +118,8 @@ def ownership_paths(edges: DataFrame, source: str, target: str, cutoff: int = 6,
 
 
 def explain_blocking(edges: DataFrame, start: DataFrame, listed: DataFrame, unknown_weight: float = 1.0, cutoff: int = 6) -> DataFrame:
-    """node, listed_node, path, contribution (4 digits): each start node's best path from each listed ancestor.
+    """node, listed_node, path, contribution (4 digits): each start node's best path from each listed ancestor, by node and
+    from the largest contribution to the smallest; equal ones by listed_node.
 
     Paths may run through other listed nodes, so contributions need not sum to the fraction. Equal weights: the path that
     sorts first.
@@ -126,7 +127,7 @@ def explain_blocking(edges: DataFrame, start: DataFrame, listed: DataFrame, unkn
     found = paths(edges, start, cutoff, unknown_weight, down=False, targets=listed)
     rows = found.select(F.element_at("path", -1).alias("node"), F.element_at("path", 1).alias("listed_node"), "path", "weight")
     best = rows.groupBy("node", "listed_node").agg(F.max("weight").alias("weight"), F.min_by("path", F.struct((-F.col("weight")).alias("w"), "path")).alias("path"))
-    return best.select("node", "listed_node", "path", F.bround("weight", 4).alias("contribution"))
+    return best.select("node", "listed_node", "path", F.bround("weight", 4).alias("contribution")).orderBy("node", F.desc("contribution"), "listed_node")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

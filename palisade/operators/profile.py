@@ -31,6 +31,20 @@ def monthly_growth(rows: DataFrame, date: str, by: tuple[str, ...] = ()) -> Data
     return every.join(months, [*by, "month_end"], "left").fillna(0, ["added"]).withColumn("cumulative", F.sum("added").over(running))
 
 
+def added_between(rows: DataFrame, date: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """rows dated from since on and before until (dates as text, null: open); rows without a date are left out."""
+    out = rows.filter(F.col(date).isNotNull())
+    if since is not None:
+        out = out.filter(F.col(date) >= F.to_timestamp(F.lit(since)))
+    return out if until is None else out.filter(F.col(date) < F.to_timestamp(F.lit(until)))
+
+
+def span(rows: DataFrame, date: str) -> DataFrame:
+    """One row: first_date, last_date, n (rows), n_dated."""
+    day = F.col(date).cast("date")
+    return rows.agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.count(F.lit(1)).alias("n"), F.count(date).alias("n_dated"))
+
+
 def weak_alias_ratio(programs: DataFrame, akas: DataFrame, least: int = 30) -> DataFrame:
     """program, n_entities, mean_aliases, n_weak, n_aliases, weak_ratio of programs of at least `least` entities.
 

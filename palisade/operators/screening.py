@@ -104,3 +104,8 @@ def near_duplicate_aliases(akas: DataFrame, least: int = 3, low: float = 0.70, s
 def outcome(base: Column, new: Column, least: float = 0.01) -> Column:
     """match (new reaches 1), improved (by more than `least`) or unchanged."""
     return F.when(new >= 1.0, "match").when(new > base + least, "improved").otherwise("unchanged")
+
+
+def gain_summary(scored: DataFrame) -> DataFrame:
+    """outcome, n, mean_base, mean_canonical, mean_gain. scored: base, canonical, outcome."""
+    return scored.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("base").alias("mean_base"), F.avg("canonical").alias("mean_canonical"), F.avg(F.col("canonical") - F.col("base")).alias("mean_gain"))

@@ -1,14 +1,15 @@
 """Registered queries and their SQL, by name.
 
-The tables at hand are no watchlist, so parts, customers and orders stand in for names, entities and aliases; a small
-literal graph and literal names stand in for what no table has.
+The tables at hand are no watchlist, so parts, customers and orders stand in for names, entities and aliases, and deliveries
+for shares. Every query reads its whole tables.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import arabic, folding, kernels, scores
+from palisade.functions import arabic, folding, scores
 from palisade.operators import blocking, communities, evaluation, ownership, profile, querygen, screening
+from palisade.sources import advanced_xml, scratch
 from palisade.sources.flat_files import table
 
 QUERIES = {}
@@ -65,6 +66,16 @@ def monthly_growth_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.monthly_growth(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus"), "o_orderdate", ("o_orderstatus",)).withColumn("month_end", F.col("month_end").cast("string"))
 
 
+@query("""select o_orderstatus, count(*) as added from orders where o_orderdate >= date '1998-03-01' and o_orderdate < date '1999-03-01' group by o_orderstatus""")
+def added_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.added_between(table(spark, sf_dir, "orders"), "o_orderdate", "1998-03-01", "1999-03-01").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("added"))
+
+
+@query("""select min(o_orderdate)::date::varchar as first_date, max(o_orderdate)::date::varchar as last_date, count(*) as n, count(o_orderdate) as n_dated from orders""")
+def date_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.span(table(spark, sf_dir, "orders"), "o_orderdate").withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
 def _order_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), (F.col("o_orderpriority") == "1-URGENT").alias("is_weak"))
 
@@ -115,19 +126,24 @@ def identifier_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, *[c for c in out.columns if c.startswith("rate_")])
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT' and o_orderstatus = 'P')")
 def entities_without_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order in process."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 
-@query("""select n_name, case when r_name <> '' and r_name <> 'ASIA' then r_name else 'Unresolved' end as entity_type, count(*) as n
-from customer join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by 1, 2""")
+@query("""select c_custkey, case when r_name = 'AFRICA' then n_name when r_name = 'EUROPE' then 'Unresolved' else r_name end as entity_type
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def resolve_type_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as subtypes: named in one region, blank or unknown elsewhere; regions as types, of which one isn't known."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    kind = F.coalesce(F.when((F.col("r_name") != "") & (F.col("r_name") != "ASIA"), F.col("r_name")), F.lit("Unresolved"))
-    return rows.groupBy("n_name", kind.alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    sub = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # as many rows as regions
+    named = F.when(F.col("r_name") == "AFRICA", F.col("n_name")).when(F.col("r_name") == "ASIA", "Unknown").otherwise("")
+    refs = sub.select(F.lit("party_subtype").alias("kind"), F.col("n_nationkey").cast("string").alias("id"), named.alias("value"), F.col("n_regionkey").cast("string").alias("parent"))
+    refs = refs.unionByName(region.filter("r_name <> 'EUROPE'").select(F.lit("party_type").alias("kind"), F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("value"), F.lit(None).cast("string").alias("parent")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("key"))
+    return advanced_xml.resolve_type(rows, refs, "key", "entity_type", "Unresolved").select("c_custkey", "entity_type")
 
 
 @query("select user_id, event_type, event_id, ts from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1")
@@ -163,21 +179,41 @@ def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", folding.normalize(F.col("text")).alias("norm"))
 
 
-NAMES = ("MOHAMMED AL-RASHID", "Hossein Soleymani", "HOSEYN SALIMANI", "KHATAM OL AMBIA", "El-Hassan, Yousef", "Fatimah Mousa", "Ministry of Defense", "José Malouf")
-CANONICAL = ("muhamad al-rashid", "husayn solimani", "husayn salimani", "khatam al ambia", "al-hasan yusuf", "fatima musa", "ministry of defence", "jose maluf")
+def _canonical_sql(token: str) -> str:
+    """The rules for a romanised token; a pattern before a letter is written with that letter, a double one letter by letter."""
+    out = f"case {token} " + " ".join(f"when '{name}' then '{form}'" for name, form in arabic.CANONICAL_NAMES.items()) + " when 'al' then 'al' when 'el' then 'al' when 'ul' then 'al' when 'ol' then 'al' else " + token + " end"
+    out = f"regexp_replace({out}, '^(el|ul|ol)-', 'al-')"
+    for vowels, by in (("ey", "i"), ("ou", "u"), ("oo", "u")):
+        out = f"regexp_replace({out}, '{vowels}([^aeiou])', '{by}\\1', 'g')"
+    for end, by in (("oo", "u"), ("ou", "u"), ("ee", "i"), ("ah", "a"), ("eh", "a"), ("ain", "ayn"), ("ein", "ayn"), ("eyn", "ayn")):
+        out = f"regexp_replace({out}, '{end}$', '{by}')"
+    for c in "bcdfghjklmnpqrstvwxyz":
+        out = f"replace({out}, '{c}{c}', '{c}')"
+    return out
 
 
-@query("select * from (values " + ", ".join(f"('{n}', '{c}')" for n, c in zip(NAMES, CANONICAL, strict=True)) + ") t(name, canonical)")
+@query(f"""with p as (select doc_id, regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g') as plain from documents),
+w as (select doc_id, unnest(string_split_regex(plain, '\\s+')) as word, generate_subscripts(string_split_regex(plain, '\\s+'), 1) as place from p),
+t as (select doc_id, place, {_canonical_sql("word")} as token from w where word <> '')
+select documents.doc_id, coalesce(string_agg(token, ' ' order by place), '') as canonical from documents left join t using (doc_id) group by documents.doc_id""")
 def canonical_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", arabic.canonical_form(F.col("name")).alias("canonical"))
+    return table(spark, sf_dir, "documents").select("doc_id", arabic.canonical_form(F.col("text")).alias("canonical"))
 
 
-SCRIPT = (("مُحَمَّد", "mhmd"), ("أحمد", "ahmd"), ("فاطمة", "fatmh"), ("موسى", "mwsy"), ("شيخ خالد", "shykh khald"), ("٢٠٢٤", "2024"), ("ثغر", "thghr"), ("مؤمن", "mwmn"))
+#: Arabic letters for a to z, among them some that are reduced, written with two Latin letters, or silent.
+SCRIPT = "أبثدإفغهىجكلمنؤقرشتعوخصيظذ"
+ARABIC_SQL = "translate(lower({}), 'abcdefghijklmnopqrstuvwxyz0123456789', '" + SCRIPT + "٠١٢٣٤٥٦٧٨٩')"
 
 
-@query("select * from (values " + ", ".join(f"('{n}', true, '{c}')" for n, c in SCRIPT) + ") t(name, is_arabic, canonical)")
+@query(f"""with n as (select p_partkey, {ARABIC_SQL.format("p_name || ' ' || p_type || ' ' || p_brand")} as name from part),
+r as (select p_partkey, name, translate(name, 'أإىؤ', 'اايو') as plain from n),
+d as (select *, replace(replace(replace(replace(replace(plain, 'ث', 'th'), 'خ', 'kh'), 'ذ', 'dh'), 'ش', 'sh'), 'غ', 'gh') as two from r)
+select p_partkey, name, regexp_matches(name, '[\u0600-\u06ff]') as is_arabic,
+  trim(regexp_replace(replace(translate(two, 'ابتجحدرزسصضطظفقكلمنهوي٠١٢٣٤٥٦٧٨٩', 'abtjhdrzssdtzfqklmnhwy0123456789'), 'ع', ''), '\\s+', ' ', 'g')) as canonical from d""")
 def arabic_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n, _ in SCRIPT], "name string").select("name", arabic.is_arabic_script(F.col("name")).alias("is_arabic"), arabic.canonical_form(F.col("name")).alias("canonical"))
+    """Part names, types and brands put into Arabic letters."""
+    name = F.translate(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), "abcdefghijklmnopqrstuvwxyz0123456789", SCRIPT + "٠١٢٣٤٥٦٧٨٩")
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", arabic.is_arabic_script(F.col("name")).alias("is_arabic"), arabic.canonical_form(F.col("name")).alias("canonical"))
 
 
 # ---------------------------------------------------------------- matching
@@ -200,15 +236,14 @@ PAIR_SQL = "with d as (select distinct p_brand, p_name from part) select a.p_bra
 JW_SQL = f"jaro_winkler_similarity({NORM.format('a.p_name')}, {NORM.format('b.p_name')})"
 
 
-@query(f"""with d as (select distinct p_name from part), s as (select a.p_name as name, b.p_name as other, {JW_SQL} as s from d a join d b on a.p_name <> b.p_name),
-k as (select *, row_number() over (partition by name order by s desc, other) as k from s) select name, other as best_match, round(s, 6) as score from k where k = 1""")
+@query(f"""with c as (select distinct p_name as name from part), q as (select name as part_name, substr(name, 2) || ' co' as query_name from c),
+s as (select part_name, query_name, name, jaro_winkler_similarity({NORM.format('query_name')}, {NORM.format('name')}) as s from q, c),
+k as (select *, row_number() over (partition by part_name order by s desc, name) as k from s) select part_name, query_name, name as best_match, round(s, 6) as score from k where k = 1""")
 def jw_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    side = names.withColumn("norm", folding.normalize(F.col("name")))
-    pairs = side.alias("a").join(side.alias("b"), F.col("a.name") != F.col("b.name")).select(F.col("a.name").alias("name"), F.col("a.norm").alias("na"), F.col("b.name").alias("other"), F.col("b.norm").alias("nb"))
-    scored = pairs.withColumn("score", kernels.jaro_winkler_of(F.col("na"), F.col("nb")))
-    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("top"))
-    return best.select("name", F.col("top.other").alias("best_match"), F.round(-F.col("top.s"), 6).alias("score"))
+    """Part names that lost a letter and got a word, against all part names."""
+    corpus = _part_corpus(spark, sf_dir)
+    queries = corpus.select(F.col("c_ord").alias("q_ord"), F.col("name").alias("part_name"), F.concat(F.expr("substr(name, 2)"), F.lit(" co")).alias("query_name"))
+    return screening.score_all_queries(queries, corpus).select("part_name", "query_name", F.col("jw_match_id").alias("best_match"), F.round("jw_score", 6).alias("score"))
 
 
 @query(f"""select p_brand, name_a, name_b, round(similarity, 6) as similarity from ({PAIR_SQL.format(JW_SQL, 'similarity')}) where similarity > 0.7 and similarity < 1.0""")
@@ -232,6 +267,12 @@ def score_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("s", scores.score_all(F.col("name_a"), F.col("name_b"))).select("p_brand", "name_a", "name_b", "s.*")
 
 
+@query()
+def canonical_gain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and mean scores before and after canonical forms, by outcome."""
+    return screening.gain_summary(canonical_gain(spark, sf_dir))
+
+
 @query()
 def canonical_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
@@ -350,6 +391,12 @@ def scorer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_f1(curves, ("scorer",))
 
 
+@query()
+def residual_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt part names that the ensemble still misses at 0.9."""
+    return evaluation.residual_failures(screening.score_all_queries(_queries(spark, sf_dir), _part_corpus(spark, sf_dir)), 0.9)
+
+
 # ---------------------------------------------------------------- query generation
 
 
@@ -377,49 +424,66 @@ def querygen_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- ownership
 
 
-EDGES = (("S", "A", 0.6), ("A", "B", 0.5), ("B", "C", 0.5), ("C", "A", 0.5), ("S", "D", 0.8), ("T", "D", 0.8), ("D", "E", 0.6), ("E", "F", None), ("X", "G", 0.9), ("T", "H", 0.49), ("S", "I", 0.3), ("T", "I", 0.3))
-LISTED = ("S", "T")
-LONE = ("Z",)
-FRACTIONS = {"A": 0.6, "B": 0.3, "C": 0.15, "D": 1.0, "E": 0.6, "F": 0.6, "G": 0.0, "H": 0.49, "I": 0.6, "S": 1.0, "T": 1.0, "X": 0.0, "Z": 0.0}
-
-
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = spark.createDataFrame(list(EDGES), "owner string, asset string, weight double")
-    names = sorted({x for a, b, _ in EDGES for x in (a, b)} | set(LONE))
-    nodes = spark.createDataFrame([(n, f"Party {n}", "Entity", ["P1"] if n < "G" else ["P2"]) for n in names], "node string, full_name string, entity_type string, programs array<string>")
-    return edges, nodes, spark.createDataFrame([(n,) for n in LISTED], "node string")
-
-
-def _values(rows, names: str) -> str:
-    lit = lambda x: "null" if x is None else repr(x)
-    return "select * from (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
-
-
-@query(_values(sorted(FRACTIONS.items()), "node, fraction").replace("select *", "select node, cast(fraction as double) as fraction"))
+def _holdings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """edges, nodes, listed: regions hold nations (by unknown shares), these suppliers and customers, and suppliers customers by
+    their share of what they were sent. One region and the suppliers in debt are listed."""
+    region, nation, supplier, customer = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier", "customer"))
+    l, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    sent = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(F.sum("l_quantity").alias("q"))
+    whole = sent.groupBy(F.col("o_custkey").alias("_c")).agg(F.sum("q").alias("total"))
+    edges = nation.select(name("r", "n_regionkey").alias("owner"), name("n", "n_nationkey").alias("asset"), F.lit(None).cast("double").alias("weight"))
+    debt = F.when(F.col("s_acctbal") < 2000, 0.3).when(F.col("s_acctbal") < 5000, 0.55).otherwise(0.9)
+    edges = edges.unionByName(supplier.select(name("n", "s_nationkey").alias("owner"), name("s", "s_suppkey").alias("asset"), debt.alias("weight")))
+    edges = edges.unionByName(customer.select(name("n", "c_nationkey").alias("owner"), name("c", "c_custkey").alias("asset"), F.lit(0.5).alias("weight")))
+    edges = edges.unionByName(sent.join(whole, F.col("o_custkey") == F.col("_c")).select(name("s", "l_suppkey").alias("owner"), name("c", "o_custkey").alias("asset"), (F.col("q") / F.col("total")).alias("weight")))
+    nodes = region.select(name("r", "r_regionkey").alias("node"))
+    for rows, prefix, key in ((nation, "n", "n_nationkey"), (supplier, "s", "s_suppkey"), (customer, "c", "c_custkey")):
+        nodes = nodes.unionByName(rows.select(name(prefix, key).alias("node")))
+    listed = region.filter("r_name = 'ASIA'").select(name("r", "r_regionkey").alias("node")).unionByName(supplier.filter("s_acctbal < 0").select(name("s", "s_suppkey").alias("node")))
+    return scratch.cut(edges, "holdings"), nodes, listed
+
+
+SENT_SQL = """sent as (select l_suppkey, o_custkey, sum(l_quantity) as q from lineitem join orders on l_orderkey = o_orderkey group by all),
+share as (select l_suppkey, o_custkey, q / sum(q) over (partition by o_custkey) as share from sent)"""
+FRACTION_SQL = "with " + SENT_SQL + """, lister as (select s_suppkey as anchor from supplier where s_acctbal < 0),
+fr as (select r_regionkey, case when r_name = 'ASIA' then 1.0 else 0.0 end as f from region),
+fn as (select n_nationkey, f from nation join fr on n_regionkey = r_regionkey),
+fs as (select s_suppkey, case when s_acctbal < 0 {listed} then 1.0 else f * case when s_acctbal < 2000 then 0.3 when s_acctbal < 5000 then 0.55 else 0.9 end end as f from supplier join fn on s_nationkey = n_nationkey {gone}),
+ss as (select o_custkey, sum(share * f) as f from share join fs on l_suppkey = s_suppkey group by o_custkey),
+fc as (select c_custkey, least(1.0, 0.5 * fn.f + coalesce(ss.f, 0)) as f from customer join fn on c_nationkey = n_nationkey left join ss on o_custkey = c_custkey),
+every as (select 'r' || r_regionkey as node, f, f = 1 as listed from fr union all select 'n' || n_nationkey, f, false from fn union all select 's' || s_suppkey, fs.f, s_acctbal < 0 from fs join supplier using (s_suppkey)
+  union all select 'c' || c_custkey, f, false from fc)"""
+
+
+@query(FRACTION_SQL.format(listed="", gone="") + " select node, round(cast(f as double), 6) as fraction from every")
 def listed_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ownership.listed_fractions(*_graph(spark)), "fraction")
+    return _rounded(ownership.listed_fractions(*_holdings(spark, sf_dir)), "fraction")
 
 
-@query(_values(sorted((n, f) for n, f in FRACTIONS.items() if f >= 0.5 and n not in LISTED), "node, fraction").replace("select *", "select node, cast(fraction as double) as fraction"))
+@query(FRACTION_SQL.format(listed="", gone="") + " select node, round_even(cast(f as double), 4) as fraction from every where not listed and f >= 0.5")
 def flagged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ownership.flag_blocked(*_graph(spark))
+    return ownership.flag_blocked(*_holdings(spark, sf_dir))
 
 
-EDGE_SQL = f"with recursive e as ({_values(EDGES, 'owner, asset, weight')})"
-PATH_SQL = EDGE_SQL + """, p as (select owner as start, [owner, asset] as path, cast(coalesce(weight, 1) as double) as weight from e where owner in ('S', 'T')
-union all select start, list_append(path, asset), p.weight * coalesce(e.weight, 1) from p join e on e.owner = path[len(path)] where not list_contains(path, asset) and len(path) <= 6)"""
+EDGE_SQL = "with recursive " + SENT_SQL + """, e as (select 'r' || n_regionkey as owner, 'n' || n_nationkey as asset, cast(1.0 as double) as weight from nation
+union all select 'n' || s_nationkey, 's' || s_suppkey, cast(case when s_acctbal < 2000 then 0.3 when s_acctbal < 5000 then 0.55 else 0.9 end as double) from supplier
+union all select 'n' || c_nationkey, 'c' || c_custkey, cast(0.5 as double) from customer union all select 's' || l_suppkey, 'c' || o_custkey, share from share),
+listed as (select 'r' || r_regionkey as node from region where r_name = 'ASIA' union all select 's' || s_suppkey from supplier where s_acctbal < 0),
+p as (select owner as start, [owner, asset] as path, weight from e where owner in (select node from listed)
+union all select start, list_append(path, asset), p.weight * e.weight from p join e on e.owner = path[len(path)] where not list_contains(path, asset) and len(path) <= 6)"""
 
 
-@query(PATH_SQL + " select array_to_string(path, '>') as path, round(weight, 6) as weight from p")
+@query(EDGE_SQL + " select array_to_string(path, '>') as path, round(weight, 6) as weight from p")
 def ownership_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, _, listed = _graph(spark)
+    edges, _, listed = _holdings(spark, sf_dir)
     return _rounded(ownership.paths(edges, listed).select(F.array_join("path", ">").alias("path"), "weight"), "weight")
 
 
-@query(PATH_SQL + """, k as (select path[len(path)] as node, start as listed_node, array_to_string(path, '>') as path, round(weight, 4) as contribution,
+@query(EDGE_SQL + """, k as (select path[len(path)] as node, start as listed_node, array_to_string(path, '>') as path, round_even(weight, 4) as contribution,
   row_number() over (partition by path[len(path)], start order by weight desc, path) as k from p) select node, listed_node, path, contribution from k where k = 1""")
 def explain_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes, listed = _graph(spark)
+    edges, nodes, listed = _holdings(spark, sf_dir)
     return ownership.explain_blocking(edges, nodes.select("node"), listed).withColumn("path", F.array_join("path", ">"))
 
 
@@ -433,7 +497,7 @@ def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edges.withColumn("weight", F.lit(None).cast("double")), nodes
 
 
-TRADE_SQL = """with recursive e as (select distinct 's' || l_suppkey as owner, 'c' || o_custkey as asset from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey where l_suppkey % 7 = o_custkey % 7),
+TRADE_SQL = """with recursive e as (select distinct 's' || l_suppkey as owner, 'c' || o_custkey as asset from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey),
 n as (select 's' || s_suppkey as node from supplier union select 'c' || c_custkey from customer)"""
 DEGREE_SQL = TRADE_SQL + ", d as (select node, (select count(*) from e where owner = node) as out_degree, (select count(*) from e where asset = node) as in_degree from n)"
 
@@ -467,7 +531,10 @@ def community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query(_values([("E", 0.6), ("F", 0.6)], "node, fraction").replace("select *", "select node, cast(fraction as double) as fraction") + " where false union all select 'D', 0.8")
+@query(FRACTION_SQL.format(listed="", gone="where s_suppkey <> (select min(anchor) from lister)") + """ select node, round_even(cast(f as double), 4) as fraction from every
+where not listed and f >= 0.5 and node in (select 'c' || o_custkey from sent where l_suppkey = (select min(anchor) from lister))""")
 def without_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes, listed = _graph(spark)
-    return ownership.without_anchor(edges, nodes, listed, "S")
+    """The first supplier in debt taken off the list: customers of it that stay blocked."""
+    edges, nodes, listed = _holdings(spark, sf_dir)
+    first = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").agg(F.min("s_suppkey")).first()[0]  # one row
+    return ownership.without_anchor(edges, nodes, listed, f"s{first}")

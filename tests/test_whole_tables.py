@@ -6,7 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from palisade.functions.scores import plain_scores
+from pyspark.sql import functions as F
+
+from palisade.functions import arabic
+from palisade.functions.kernels import metaphone_string
+from palisade.functions.scores import plain_normalize, plain_scores
 from palisade.operators import communities, querygen, screening
 from palisade.plans import catalogue
 
@@ -89,3 +93,61 @@ def test_scorers_face_all_negatives(spark):
     rows = {r.scorer: r for r in catalogue.QUERIES["scorer_summary"](spark, SF).collect()}
     assert {k: r.fp + r.tn for k, r in rows.items()} == dict.fromkeys(screening.SCORERS, 1200)
     assert rows["jw"].fp == sum(best[q] >= rows["jw"].threshold for q in names)
+
+
+@pytest.fixture(scope="module")
+def brand_pairs():
+    """Pairs of different part names of a brand."""
+    named = set(column("part", "p_brand", "p_name"))
+    return {(b, x, y) for b, x in named for c, y in named if b == c and x < y}
+
+
+def test_scores_of_all_pairs(spark, brand_pairs):
+    want = {k: plain_scores(k[1], k[2]) for k in brand_pairs}
+    rows = catalogue.QUERIES["score_all_pairs"](spark, SF).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert {k: r[k] for k in ("jaro_winkler", "token_set", "phonetic", "ensemble")} == pytest.approx(want[r.p_brand, r.name_a, r.name_b])
+    for name, kind in (("token_set_pairs", "token_set"), ("phonetic_pairs", "phonetic")):
+        got = {(r.p_brand, r.name_a, r.name_b): r.score for r in catalogue.QUERIES[name](spark, SF).collect()}
+        assert got == pytest.approx({k: v[kind] for k, v in want.items()})
+
+
+def test_gains_of_all_pairs(spark, brand_pairs):
+    names = sorted({n for _, x, y in brand_pairs for n in (x, y)})
+    forms = {r.name: r.form for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", arabic.canonical_form(F.col("name")).alias("form")).collect()}
+    sums = {}
+    for _, x, y in brand_pairs:
+        base, new = plain_scores(x, y)["ensemble"], plain_scores(forms[x], forms[y])["ensemble"]
+        sums.setdefault("match" if new >= 1 else "improved" if new > base + 0.01 else "unchanged", []).append((base, new))
+    rows = catalogue.QUERIES["canonical_gain_summary"](spark, SF).collect()
+    assert {r.outcome: r.n for r in rows} == {k: len(v) for k, v in sums.items()}
+    for r in rows:
+        own = sums[r.outcome]
+        assert (r.mean_base, r.mean_canonical, r.mean_gain) == pytest.approx((sum(b for b, _ in own) / len(own), sum(c for _, c in own) / len(own), sum(c - b for b, c in own) / len(own)))
+
+
+def test_best_matches_and_failures(spark):
+    listed = sorted({n for n, in column("part", "p_name")})
+    kinds = dict(zip(screening.SCORERS, ("jaro_winkler", "token_set", "phonetic", "ensemble"), strict=True))
+    missed = {}
+    for r in catalogue.QUERIES["ensemble_best"](spark, SF).collect():
+        scored = [(plain_scores(r.query_name, n), n) for n in listed]
+        for k, kind in kinds.items():
+            score, name = max(((s[kind], n) for s, n in scored), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1]]))
+            assert r[f"{k}_score"] == pytest.approx(score)
+            if k == "ens" and (score < 0.9 or name != r.true_entity_id):
+                missed[r.q_ord] = "below_threshold" if score < 0.9 else "wrong_match"
+    assert {r.q_ord: r.reason for r in catalogue.QUERIES["residual_failures"](spark, SF).collect()} == missed
+
+
+def test_blocks_of_all_names(spark):
+    listed = sorted({n for n, in column("part", "p_name")})
+    codes = {n: metaphone_string(plain_normalize(n).split()[0]) for n in listed}
+    rows = catalogue.QUERIES["phonetic_block"](spark, SF).collect()
+    assert {r.name for r in rows} <= set(listed)
+    for q, query in {(r.q_ord, r.query_name) for r in rows}:
+        key = {r.block_key for r in rows if r.q_ord == q}
+        assert len(key) == 1
+        got = {r.name for r in rows if r.q_ord == q}
+        assert got == {n for n in listed if codes[n] in key}
