@@ -1,11 +1,13 @@
 """WARC archives: written with segmented records and chunked payloads, read back by reassembling the segments.
 
-Records are plain text up to their closing CRLF CRLF, so Spark's own text writer lays them down, with that as the line
-separator, through any file system that Spark knows; gzip is applied to the file as a whole. Segments bound a record's
-size and records per file bound a file's size, so readers hold one bounded file at a time.
+Each record is a gzip member of its own, so that readers can seek to it. A member's last byte is 0, so Spark's own text
+writer lays members down, with that byte as the line separator, through any file system that Spark knows. Segments bound
+a record's size and records per file bound a file's size, so readers hold one bounded file at a time. Files of one member
+for all records, of several, and plain ones are read alike.
 """
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.words import bound_batches
 from palisade.sources import scratch
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 END = "\r\n\r\n"
+PART_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID(int=0)
 
@@ -93,13 +97,15 @@ def page_records(page_id, url, html, refers: tuple | None, date: str, segment_by
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z", segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, records_per_file: int = 4000, least_bytes: int = 0, broadcast_digests: int = 200_000) -> None:
-    """Write a record for every row of pages to gzipped WARC files below path.
+    """Write a record for every row of pages to WARC files below path, each record a gzip member.
 
     Of rows with equal payloads of at least least_bytes, those with the largest id are responses (all of them, where ids
     repeat) and others revisit it; where several rows share that largest id, revisits name the smallest url's. A null id
     is smaller than any. A null html is empty, a null url has no target. The table of repeated payloads is broadcast up
-    to broadcast_digests rows and joined by shuffle beyond.
+    to broadcast_digests rows and joined by shuffle beyond. Rows that repeat are each a record; further columns, whatever
+    their names, are dropped; an empty table gives files without records.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     first = F.struct(F.bitwise_not(F.coalesce(F.col("page_id"), F.lit(-(2**63)).cast("long"))).alias("i"), F.coalesce("url", F.lit("")).alias("u"), "page_id", "url")
@@ -116,18 +122,48 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             out, held = [], 0
             for page_id, url, html, ref_id, ref_url, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for record in page_records(page_id, url, html, (ref_id, ref_url) if again else None, date, segment_bytes, chunk_bytes):
-                    out.append(record)
+                    out.append(packed(record))
                     held += len(record)
                 if held > 4 << 20:
-                    yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
                     out, held = [], 0
             if out:
-                yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+                yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    (rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip")
+    (rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none")
      .option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path))
 
 
+def packed(record: str) -> bytes:
+    """The record, with its closing CRLF CRLF, as a gzip member (as several ones beyond PART_BYTES) without its last byte.
+
+    That byte is the highest one of the member's length, 0 below 16 MB; the writer's line separator puts it there.
+    """
+    data = memoryview((record + END).encode())
+    parts = [data[a:a + PART_BYTES] for a in range(0, len(data), PART_BYTES)]
+    return b"".join(gzip.compress(x, 6, mtime=0) for x in parts)[:-1]
+
+
+def unpacked(data: bytes) -> bytes:
+    """data without gzip: all of its members, one after the other; plain data as it is. A member that is cut off is an error."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        if view[at:at + 2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at byte {at}")
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            step = view[at:at + (64 << 10)]
+            if not len(step):
+                raise ValueError("a gzip member is cut off")
+            out.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
+        while at < len(view) and not view[at]:  # writers may pad with zeros
+            at += 1
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """Fields (names in lower case) and block of every record, by their lengths."""
     at = 0
@@ -166,8 +202,7 @@ def read_segments(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                data = content.as_buffer().to_pybytes()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+                data = unpacked(content.as_buffer().to_pybytes())
                 out, held = [], 0
                 for f, block in parse_records(data):
                     number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
@@ -237,8 +272,9 @@ def read_warc(spark, path: str, broadcast_records: int = 200_000) -> DataFrame:
     """record_id, kind, page_id, url, payload_bytes, payload_digest, refers_to (a page id) of every record below path.
 
     Bytes and digest are those of the decoded payload; a revisit takes them from the response that it names, which must
-    be there.
+    be there. A record without a page id or url has null there; files without records give no rows.
     """
+    bound_batches(spark)
     whole = reassemble(read_segments(spark, path)).select(
         "record_id", "kind", "page_id", "url", "refers", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
     whole = scratch.cut(whole, "records")  # payloads are read once

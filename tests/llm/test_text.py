@@ -1,7 +1,10 @@
 """HTML extraction, quality rules, chat templates, edit matching, packing, WARC and the pipeline."""
 
+import gzip
 import hashlib
 import random
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -343,3 +346,61 @@ def test_stages_return_documents_columns(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_warc_members(spark, tmp_path):
+    """Files of one member for all records, of one for each, of several with padding, and plain ones are read in full."""
+    page = lambda k: (k, f"http://h/{k}", f"<p>text {k} \u00e9</p>" * (1 + 40 * k))
+    records = [[(r + warc.END).encode() for r in warc.page_records(*page(k), None, "2020-01-01T00:00:00Z", 500, 100)] for k in range(12)]
+    flat = [r for page_of in records for r in page_of]
+    assert len(flat) > 24
+    files = {"one": gzip.compress(b"".join(flat[:9])), "each": b"".join(map(gzip.compress, flat[9:17])), "plain": b"".join(flat[17:20]),
+             "some": gzip.compress(b"".join(flat[20:23])) + bytes(5) + b"".join(map(gzip.compress, flat[23:])) + bytes(3)}
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    assert warc.read_segments(spark, str(tmp_path / "in")).count() == len(flat)
+    got = {r.page_id: r.payload_bytes for r in warc.read_warc(spark, str(tmp_path / "in")).collect()}
+    assert got == {k: len(page(k)[2].encode()) for k in range(12)}
+    for cut in (files["each"][:-6], files["each"] + b"rest"):
+        with pytest.raises(ValueError):
+            warc.unpacked(cut)
+
+
+def test_warc_is_written_in_members(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * k) for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "out"), records_per_file=20)
+    found = 0
+    for f in (tmp_path / "out").glob("part-*"):
+        data, at = f.read_bytes(), 0
+        while at < len(data):
+            member = zlib.decompressobj(31)
+            record = member.decompress(data[at:])
+            at = len(data) - len(member.unused_data)
+            assert member.eof and record.startswith(b"WARC/1.1") and record.endswith(b"\r\n\r\n")
+            found += 1
+    assert found == 30
+
+
+def test_warc_large_records():
+    """A record beyond one member's length is several members."""
+    data = warc.packed("y" * (20 << 20)) + b"\0"
+    assert warc.unpacked(data) == b"y" * (20 << 20) + b"\r\n\r\n"
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    for html in ("<div>" * 100_000 + "deep", "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li>" * 50_000 + "</b>" * 100_000 + "end"):
+        page = html_model.Page(html)
+        assert page.text([True] * len(page.tag)) in ("deep", "", "end")
+    assert time.time() - began < 30
+
+
+def test_repeated_pieces_take_linear_time():
+    item = "the quick brown fox jumps over the lazy dog and then runs away from the big bad wolf"
+    matcher = edit_match.Matcher([(1, item)], 25)
+    piece = matcher.items[0][3][0][1]
+    began = time.time()
+    assert matcher.hits(piece * 100_000) == []
+    assert matcher.hits(piece * 1000 + item)[0][1] == 0
+    assert time.time() - began < 30
