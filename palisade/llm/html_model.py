@@ -10,7 +10,7 @@ import functools
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,17 +46,20 @@ class Page:
         self.tag, self.parent, self.hint, self.label = ["#"], [-1], ["none"], [None]
         self.runs: list[tuple[int, str]] = []  # "\n" marks a break between blocks
         self.chars, self.links, self.stops = [0], [0], [0]
+        self.skip = 0  # open elements whose text doesn't count
         self._read(html)
 
     def _read(self, html: str) -> None:
         stack = [("#", 0, True)]  # element, node, is a node of its own
-        at, skip, linked = 0, 0, 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # in the stack, of each kind of element
+        self.blocks = [0]  # places of elements that aren't inline
+        at = 0
         finder = _TAG
         while at < len(html):
             m = finder.search(html, at)
             end = m.start() if m else len(html)
-            if end > at and not skip:
-                self._text(stack[-1][1], html[at:end], linked)
+            if end > at and not self.skip:
+                self._text(stack[-1][1], html[at:end], len(self.places["a"]))
             if not m:
                 break
             at = m.end()
@@ -65,14 +68,9 @@ class Page:
                 continue
             name = name.lower()
             if shut:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if depth and (name not in INLINE or not any(x[0] not in INLINE for x in stack[depth + 1:])):
-                    for x in stack[depth:]:
-                        skip -= x[0] in DROPPED
-                        linked -= x[0] == "a"
-                        if x[0] not in INLINE:
-                            self.runs.append((x[1], "\n"))
-                    del stack[depth:]
+                place = self._last(name)
+                if place and (name not in INLINE or place > self.blocks[-1]):
+                    self._pop(stack, place, True)
                 continue
             if name in RAW and not attrs.endswith("/"):
                 done = _END_RAW[name].search(html, at)
@@ -83,12 +81,10 @@ class Page:
             if name in VOID:
                 continue
             self._close(stack, name)
-            skip = sum(x[0] in DROPPED for x in stack) + (name in DROPPED)
-            linked = sum(x[0] == "a" for x in stack) + (name == "a")
             hint, label = self._hint(attrs)
             own = name not in INLINE or hint != "none" or label is not None
             node = stack[-1][1]
-            if own and not skip:
+            if own and not self.skip and name not in DROPPED:
                 node = len(self.tag)
                 self.tag.append(name if name not in INLINE else "inline")
                 self.parent.append(stack[-1][1])
@@ -97,23 +93,35 @@ class Page:
                 for x in (self.chars, self.links, self.stops):
                     x.append(0)
             if not attrs.endswith("/") or name not in ("path", "use", "g"):
+                self.places[name].append(len(stack))
+                if name not in INLINE:
+                    self.blocks.append(len(stack))
                 stack.append((name, node, own))
+                self.skip += name in DROPPED
+
+    def _last(self, *names: str) -> int:
+        """Place in the stack of the innermost open element of these kinds; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def _pop(self, stack: list, to: int, breaks: bool = False) -> None:
+        """Close the elements from the top of the stack to that place."""
+        while len(stack) > to:
+            name, node, _ = stack.pop()
+            self.places[name].pop()
+            self.skip -= name in DROPPED
+            if name not in INLINE:
+                self.blocks.pop()
+                if breaks:
+                    self.runs.append((node, "\n"))
 
-    @staticmethod
-    def _close(stack: list, name: str) -> None:
+    def _close(self, stack: list, name: str) -> None:
         """Close what the start of `name` implies."""
-        wanted = ("p",) if name in CLOSES_P else CLOSED_BY.get(name)
-        if name == "body":
-            wanted = ("head",)
-        if not wanted:
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in wanted:
-                del stack[k:]
-                return Page._close(stack, name) if wanted != ("p",) else None
-            if stack[k][0] in SCOPES and name in CLOSED_BY or stack[k][0] in ("td", "th", "table"):
-                return None
-        return None
+        wanted = ("p",) if name in CLOSES_P else ("head",) if name == "body" else CLOSED_BY.get(name, ())
+        stops = ("td", "th", "table", *(SCOPES if name in CLOSED_BY else ()))
+        while (place := self._last(*wanted)) and place >= self._last(*stops):
+            self._pop(stack, place)
+            if name in CLOSES_P:
+                return
 
     def _hint(self, attrs: str) -> tuple[str, str | None]:
         found, label = set(), None
