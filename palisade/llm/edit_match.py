@@ -18,6 +18,7 @@ from palisade.sources import scratch
 
 CHARS_PER_EDIT = 25
 BLOCK_CHARS = 4 << 20
+KNOWN_WINDOWS = 1000
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -82,22 +83,29 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         if self.empty or not text:
             return []
-        done: dict[int, list[int]] = {}
+        done: dict[int, set[int]] = {}
+        known: dict[tuple[int, str], tuple[int, int]] = {}  # repetitive texts bring the same windows again
         for last, (size, owners) in self.automaton.iter(text):
             for n, at in owners:
                 if n in best and best[n][0] == 0:
                     continue
                 _, item, k, _ = self.items[n]
                 where, m = last + 1 - size - at, len(item)
-                if any(abs(where - x) == 0 for x in done.get(n, ())):
+                places = done.setdefault(n, set())
+                if where in places:
                     continue
-                done.setdefault(n, []).append(where)
+                places.add(where)
                 if where >= 0 and text.startswith(item, where):
                     best[n] = (0, where, where + m)
                     continue
                 if k:
                     start = max(0, where - k)
-                    d, end = least_distance(self.masks.setdefault(n, masks(item)), m, text[start:where + m + k])
+                    window = text[start:where + m + k]
+                    if (n, window) not in known:
+                        if len(known) >= KNOWN_WINDOWS:
+                            known.clear()
+                        known[n, window] = least_distance(self.masks.setdefault(n, masks(item)), m, window)
+                    d, end = known[n, window]
                     if d <= k and (n not in best or d < best[n][0]):
                         best[n] = (d, max(start, start + end - m), start + end)
         return [(self.items[n][0], *x) for n, x in sorted(best.items())]
@@ -128,7 +136,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     distance is the least of all places; start and end give the first such place in the plain text. The test set is the
     stated query set: its items go to the workers in blocks of about block_chars, each block a pass over the documents.
     Null, empty and all-punctuation texts match nothing; an item shorter than twice chars_per_edit must occur unchanged.
-    Repeated rows of docs give repeated matches.
+    Repeated rows of docs give repeated matches. Further columns of either table, whatever their names, are dropped; an
+    empty table on either side gives no rows.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
@@ -148,7 +157,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of docs without any match (a null id is kept only if no document with a null id matches)."""
+    """Rows of docs without any match (a null id is kept only if no document with a null id matches, and rows that repeat an id
+    go together). All columns pass, whatever their names; an empty table or test set takes nothing out."""
     bad = scratch.cut(find_matches(docs, benchmark, id_col, **options).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "_bad")
     if bad.count() <= 1_000_000:
         bad = F.broadcast(bad)
