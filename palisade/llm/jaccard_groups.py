@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palisade.sources import scratch
 from palisade.operators.components import components
 from palisade.llm import sketch
-from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, tidied, window_hashes, window_owner, words_of
 
 SHINGLE, PERCENT, SHARED = 4, 85, 8
 BOX_BYTES = 1 << 20  # of tokens
@@ -127,7 +127,7 @@ def survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
         if len(tokens):
             yield _rows(2, tokens.view(np.int64), counts)
 
-    return docs.mapInArrow(run, SURVEY)
+    return docs.mapInArrow(tidied(run), SURVEY)
 
 
 def heavy_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> Da
                 yield pa.record_batch([pa.array([ids[i] for i in able], pa.int64()), pa.array(s.n[able]), pa.array(d1[able]), pa.array(s.values[s.starts[able]].view(np.int64)), pa.array((s.n - n_common)[able]),
                                        pa.array([values[starts[i]:starts[i] + most[i]].tobytes() for i in able], pa.binary())], ["id", "n", "d1", "least", "own", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, least long, own long, prefix binary")
+    return docs.mapInArrow(tidied(run), "id long, n long, d1 long, least long, own long, prefix binary")
 
 
 POSTINGS = "token long, own long, id long, n long, d1 long, least long"
@@ -183,7 +183,7 @@ def postings(sets: DataFrame) -> DataFrame:
                 tokens = pa.array(np.frombuffer(b"".join(prefixes), np.int64))
                 yield pa.record_batch([tokens, *(part.column(k).take(pa.array(which)) for k in range(5))], ["token", "own", "id", "n", "d1", "least"])
 
-    return sets.select("own", "id", "n", "d1", "least", "prefix").mapInArrow(run, POSTINGS)
+    return sets.select("own", "id", "n", "d1", "least", "prefix").mapInArrow(tidied(run), POSTINGS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -224,7 +224,7 @@ def shared_postings(found: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(x[keep]) for x in (token, ids, *others, lead)], names)
 
     return (found.repartition("token").sortWithinPartitions("token", "own", "id")
-            .mapInArrow(run, "token long, id long, n long, d1 long, least long, lead long"))
+            .mapInArrow(tidied(run), "token long, id long, n long, d1 long, least long, lead long"))
 
 
 def choices(shared: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def box_pairs(shared: DataFrame, boxes: DataFrame, percent: int, block: int = 1
             rows = merged()
             yield pa.record_batch([pa.array(rows[:, k]) for k in range(5)], names)
 
-    probes = rows.repartition("key").sortWithinPartitions("key", "right", "box").mapInArrow(run, "hub long, box long, bytes long, due long, hits long")
+    probes = rows.repartition("key").sortWithinPartitions("key", "right", "box").mapInArrow(tidied(run), "hub long, box long, bytes long, due long, hits long")
     return (probes.groupBy("hub", "box").agg(F.sum("hits").alias("hits"), F.first("bytes").alias("bytes"), F.first("due").alias("due"))
             .filter("hits >= due").select("hub", "box", "bytes"))
 
@@ -475,7 +475,7 @@ def box_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield from box.done()
 
     return (heads.unionByName(queries).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "id", "d1")
-            .mapInArrow(run, "id long, d1 long, label long, links long"))
+            .mapInArrow(tidied(run), "id long, d1 long, label long, links long"))
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -488,7 +488,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
                 same = np.flatnonzero(s.digest(MIX[0]) == part.column(3).to_numpy())
                 yield pa.record_batch([*(part.column(k).take(pa.array(same)) for k in (2, 0, 3, 4)), pa.array([s.one(i).tobytes() for i in same], pa.binary())], ["box", "id", "d1", "weight", "set"])
 
-    return docs.select("id", "text", "box", "d1", "weight").mapInArrow(run, "box long, id long, d1 long, weight long, set binary")
+    return docs.select("id", "text", "box", "d1", "weight").mapInArrow(tidied(run), "box long, id long, d1 long, weight long, set binary")
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -508,7 +508,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch.bits_for(total / 3)  # about two cells for each word
+    bits = sketch.bits_for(total / 8)  # about a cell for each word: a set is done if too few of its tokens fall into shared ones
     found = scratch.cut(survey(rows, size, bits), "survey")
     bitmap = sketch.merged(found.filter("kind = 1").select(F.col("id").alias("chunk"), "cells", "twice"), bits)[0]
     held = spark.sparkContext.broadcast((*heavy_tokens(found), bitmap))
