@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palisade.sources import scratch
 from palisade.llm import sketch
-from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, window_owner, words_of
+from palisade.llm.words import MIX, WordHashes, bound_batches, flat_hashes, mix, parts, slices, tidied, window_owner, words_of
 
 WINDOW = 50
 ROWS = 2
@@ -87,7 +87,7 @@ def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
                     yield from out()
         yield from out()
 
-    return sketch.merged(texts.mapInArrow(gather, "chunk long, cells binary, twice binary"), bits, ROWS)
+    return sketch.merged(texts.mapInArrow(tidied(gather), "chunk long, cells binary, twice binary"), bits, ROWS)
 
 
 WINDOWS = "w1 long, w2 long, id long, text long, at int"
@@ -114,7 +114,7 @@ def repeated_windows(texts: DataFrame, held, bits: int, window: int) -> DataFram
                 yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.array(ids, np.int64)[owner]),
                                        pa.array(np.array(hashes, np.int64)[owner]), pa.array((at - starts[owner]).astype(np.int32))], ["w1", "w2", "id", "text", "at"])
 
-    return texts.mapInArrow(run, WINDOWS)
+    return texts.mapInArrow(tidied(run), WINDOWS)
 
 
 def cover(words: list[bytes], at: list[int] | None, everything: bool, window: int) -> tuple[list[bytes], int]:
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     done.append((len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass")))
                 yield pa.record_batch([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return _marked(docs, id_col, text_col, window, []).mapInArrow(run, RESULT)
+    return _marked(docs, id_col, text_col, window, []).mapInArrow(tidied(run), RESULT)
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -211,7 +211,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 text, changed, stays = zip(*done, strict=True)
                 yield pa.record_batch([pa.array(text, pa.string()), pa.array(changed), part.column(4)], ["text", "changed", "row"]).filter(pa.array(stays))
 
-    out = marked.mapInArrow(run, f"text string, changed boolean, row {marked.schema['row'].dataType.simpleString()}")
+    out = marked.mapInArrow(tidied(run), f"text string, changed boolean, row {marked.schema['row'].dataType.simpleString()}")
     new = {c: F.col("row")[c] for c in docs.columns if c != text_col} | {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
