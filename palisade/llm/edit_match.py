@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import bound_batches, slices
+from palisade.llm.words import bound_batches, slices, tidied
 from palisade.sources import scratch
 
 CHARS_PER_EDIT = 25
@@ -151,7 +151,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
-        part = rows.mapInArrow(run, HITS)
+        part = rows.mapInArrow(tidied(run), HITS)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
 

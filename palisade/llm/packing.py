@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.sources import scratch
-from palisade.llm.words import bound_batches, slices
+from palisade.llm.words import bound_batches, slices, tidied
 
 CAPACITY, END_ID = 1024, 2
 
@@ -125,7 +125,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidied(run), PIECES + ", ids array<int>" * with_ids)
 
 
 # ---------------------------------------------------------------- plan
@@ -234,7 +234,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int
             yield pa.record_batch([*(b.column(i) for i in keep), pa.array(sequence[k] + place - rank[k]), pa.array(offset[k])], [*(names[i] for i in keep), "sequence_id", "offset"])
 
     shape = ", ".join(f"{names[i]} {ranked.schema[names[i]].dataType.simpleString()}" for i in keep)
-    return ranked.mapInArrow(run, shape + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(run), shape + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

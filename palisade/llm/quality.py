@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.words import MIX, bound_batches, mix, parts, slices, window_hashes, window_owner, words_of
+from palisade.llm.words import MIX, bound_batches, mix, parts, slices, tidied, window_hashes, window_owner, words_of
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -69,7 +69,7 @@ def _count(texts: DataFrame, buckets: int) -> np.ndarray:
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["bucket", "n"])
 
     out = np.zeros(buckets)
-    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(tidied(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -129,7 +129,7 @@ def measure(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
                     pa.array([len(x) - len(x.translate(None, SYMBOLS)) for x in raw], pa.int64()), pa.array(dup, pa.int64()),
                     pa.array(_repeated(part.flat, part.starts).astype(np.int64)), pa.array(part.scores(ratio))], schema=_ARROW)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, COUNTS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidied(run), COUNTS)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **fit) -> DataFrame:
@@ -157,4 +157,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 good = (n >= 50) & (100 * _repeated(s.flat, s.starts) <= 50 * n) & (s.scores(ratio) >= threshold)
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
