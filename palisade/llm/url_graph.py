@@ -2,7 +2,8 @@
 
 Trust is a personalised PageRank that starts at trusted seed hosts and follows links; distrust starts at blocked seed
 hosts and follows links backwards, so that it reaches hosts that link to blocked ones. A host whose distrust exceeds
-its trust by the threshold is blocked. Seeds are the hosts whose own pages the rules mostly allow or mostly block.
+its trust by the threshold is blocked. Seeds are the hosts whose own pages the rules mostly allow or mostly block. Scores
+are in units of one seed's start, so that the number of seeds on either side doesn't count.
 """
 
 from dataclasses import dataclass
@@ -69,12 +70,11 @@ def rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name:
     if steps.isEmpty():
         return scores
     for k in range(rounds):
-        moved = (steps.join(scores.withColumnRenamed("host", "src"), "src")
-                 .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score") * damping).alias("got")))
+        moved = cut(steps.join(scores.withColumnRenamed("host", "src"), "src")
+                    .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score") * damping).alias("got")), f"{name}-moved")
         # what isn't moved along a link returns to the seeds
-        kept = scores.agg(F.sum("score")).first()[0] or 0.0
-        spread = moved.agg(F.sum("got")).first()[0] or 0.0
-        start = seeds.select("host", (F.col("weight") * F.lit(kept - spread)).alias("got"))
+        back = 1.0 - (moved.agg(F.sum("got")).first()[0] or 0.0)
+        start = seeds.select("host", (F.col("weight") * F.lit(back)).alias("got"))
         scores = cut(moved.unionByName(start).groupBy("host").agg(F.sum("got").alias("score")), f"{name}-{k}")
     return scores
 
@@ -92,7 +92,8 @@ def host_scores(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "url", htm
     scores = []
     for name, seeds, graph in (("trust", trusted, edges), ("distrust", blocked, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
         n = seeds.count()
-        scores.append(rank(graph, seeds.select("host", F.lit(1.0 / max(n, 1)).alias("weight")), damping, rounds, name).withColumnRenamed("score", name))
+        found = rank(graph, seeds.select("host", F.lit(1.0 / max(n, 1)).alias("weight")), damping, rounds, name)
+        scores.append(found.select("host", (F.col("score") * n).alias(name)))
     return (scores[0].join(scores[1], "host", "full_outer")
             .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
 

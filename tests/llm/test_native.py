@@ -3,6 +3,8 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from palisade.llm import queries
 from palisade.llm.sharding import shard_documents
 from palisade.llm.url_graph import Rule, judge_urls, link_edges, rank
@@ -105,5 +107,16 @@ def test_links_and_propagation(spark):
     assert [r.verdict for r in judge_urls(df, rules, broadcast_hosts=0).orderBy("page_id").collect()] == [v for _, v in got]
 
 
+def test_the_number_of_seeds_does_not_count(spark):
+    """One blocked seed links to a host as one trusted host does; nine more trusted seeds elsewhere change nothing there."""
+    rules = (Rule("allow", "good.org", "/"), Rule("block", "bad.org", "/"))
+    link = lambda to: f'<a href="http://{to}/">l</a>'
+    rows = [(1, "http://a.good.org/", link("mid.org")), (2, "http://mid.org/", link("bad.org")), (3, "http://bad.org/", "")]
+    few = judge_urls(pages(spark, rows), rules).filter("page_id = 2").first()
+    more = judge_urls(pages(spark, rows + [(10 + k, f"http://h{k}.good.org/", "") for k in range(9)]), rules).filter("page_id = 2").first()
+    assert few.verdict == more.verdict
+    assert more.distrust == pytest.approx(few.distrust) and few.trust > 0 and more.trust > 0
+
+
 def test_empty_pages(spark):
     assert judge_urls(pages(spark, [])).count() == 0
