@@ -220,9 +220,13 @@ def expression(source: str):
     return value
 
 
+_LITERAL = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\""""
+_PARTS = re.compile(rf"(\{{\{{(?:{_LITERAL}|(?!\}}\}}).)*+\}}\}}|\{{%(?:{_LITERAL}|(?!%\}}).)*+%\}}|\{{#.*?#\}})", re.S)
+
+
 def parse(source: str) -> tuple:
     """The syntax tree: a tuple of nodes."""
-    parts = re.split(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", source, flags=re.S)
+    parts = _PARTS.split(source)
     for i in range(1, len(parts), 2):
         if parts[i][2] == "-":
             parts[i - 1] = parts[i - 1].rstrip()
@@ -273,8 +277,39 @@ def parse(source: str) -> tuple:
 
 _BINARY: dict[str, Callable] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
-    "%": lambda a, b: a % b, "~": lambda a, b: _shown(a) + _shown(b)}
+    ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: _bounded(a + b), "-": lambda a, b: _bounded(a - b), "*": lambda a, b: _times(a, b),
+    "%": lambda a, b: _modulo(a, b), "~": lambda a, b: _shown(a) + _shown(b)}
+
+
+MOST_CHARS, MOST_BITS = 1 << 20, 1 << 12
+
+
+def _bounded(x):
+    """A value made by an operator; texts and lists it repeats and numbers it multiplies are bounded before."""
+    if isinstance(x, int) and x.bit_length() > MOST_BITS:
+        raise TemplateError("a number is too large")
+    return x
+
+
+def _times(a, b):
+    for x, n in ((a, b), (b, a)):
+        if isinstance(x, (str, list, tuple)) and isinstance(n, int) and len(x) * n > MOST_CHARS:
+            raise TemplateError(f"a product of more than {MOST_CHARS} characters")
+    return _bounded(a * b)
+
+
+def _modulo(a, b):
+    if isinstance(a, str):
+        raise TemplateError("% is for numbers")
+    return a % b
+
+
+def _checked(op: str, f: Callable, *args):
+    """f of the arguments; what Python says against their kinds is an error of the template."""
+    try:
+        return f(*args)
+    except (TypeError, ValueError, ZeroDivisionError, OverflowError) as error:
+        raise TemplateError(f"{op}: {error}") from None
 
 
 def _shown(x) -> str:
@@ -299,7 +334,7 @@ def fold(node):
         return Op(node.op, args)
     if isinstance(node, Filter):
         args = tuple(map(fold, node.args))
-        return Const(FILTERS[node.name](*(a.value for a in args))) if all(isinstance(a, Const) for a in args) else Filter(node.name, args)
+        return Const(_checked(node.name, FILTERS[node.name], *(a.value for a in args))) if all(isinstance(a, Const) for a in args) else Filter(node.name, args)
     if isinstance(node, Key):
         return Key(fold(node.of), fold(node.key))
     if isinstance(node, Out):
@@ -330,7 +365,7 @@ def _operate(op: str, args: list[Callable]) -> Callable:
     if op in ("and", "or"):
         return (lambda c: args[0](c) and args[1](c)) if op == "and" else (lambda c: args[0](c) or args[1](c))
     f = _BINARY[op]
-    return lambda c: f(args[0](c), args[1](c))
+    return lambda c: _checked(op, f, args[0](c), args[1](c))
 
 
 def _value(node) -> Callable:
