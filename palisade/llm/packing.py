@@ -7,6 +7,7 @@ runs "ranks r.. of length l go to sequences s.. at offset o", a few thousand wha
 place by their rank among pieces of their length.
 """
 
+import functools
 import json
 import os
 import re
@@ -32,34 +33,89 @@ CAPACITY, END_ID = 1024, 2
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Byte strings of a byte-level vocabulary file and their ids, which are also the order of its merges."""
+def byte_chars() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    char = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Byte strings of a byte-level vocabulary file and their ids."""
+    char = byte_chars()
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     special = {x["content"] for x in data["added_tokens"]}
     return {bytes(char[c] for c in word): n for word, n in data["model"]["vocab"].items() if word not in special}
 
 
+def _split_by_rank(word: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """The word's bytes after all merges of lower ranks, lowest first."""
+    held = [word[i:i + 1] for i in range(len(word))]
+    while len(held) > 1:
+        n, i = min((ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(held, held[1:], strict=False)))
+        if n >= below:
+            break
+        held[i:i + 2] = [held[i] + held[i + 1]]
+    return held
+
+
+@functools.cache
+def agrees(path: str) -> bool:
+    """Is merging by rank, after splitting by SPLIT, sure to give the ids of the file's own tokenizer?
+
+    So it is if the file is a plain byte-level model; if its merges stand in the order of their results' ids, and each
+    result's bytes, merged by lower ranks only, come to just the pair that the merge names (then no other pair can ever
+    meet); and if every character is of the same class to both splitters: each of the planes that have any (0 to 3 and the
+    start of 14) is put between a letter and a digit.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model, split = data["model"], data.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+             and data.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True))
+    if not plain:
+        return False
+    ranks, char = byte_ranks(path), byte_chars()
+    last = -1
+    for merge in model["merges"]:
+        a, b = (bytes(char[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+        n = ranks.get(a + b, -1)
+        if n <= last or _split_by_rank(a + b, ranks, n) != [a, b]:
+            return False
+        last = n
+    if any(bytes([x]) not in ranks for x in range(256)) or len(ranks) != 256 + len(model["merges"]):
+        return False
+    own, merged = Tokenizer.from_file(path), tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    own.encode_special_tokens = True
+    codes = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
+    texts = ["".join(f"x{chr(c)}1" for c in codes[k:k + 4096]) for k in range(0, len(codes), 4096)]
+    return all(own.encode(t, add_special_tokens=False).ids == merged.encode_ordinary(t) for t in texts)
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, remembered by word.
 
     Before " x" (x a letter, digit or ASCII mark) after a non-space the vocabulary always splits, so texts whose spaces
     are all of that kind are put together from remembered words; other texts are encoded whole. New words are merged by
-    the file's ranks. A text of every slice is also given to the file's own tokenizer; should the two ever differ, that
-    tokenizer encodes the slice.
+    the file's ranks, where `agrees` holds; elsewhere the file's own tokenizer encodes all. A text of every slice is also
+    given to that tokenizer; should the two ever differ, it encodes the slice.
     """
 
     PLAIN = re.compile(r"[!-~]|[^\W_]")
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 200_000, by_rank: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.by_rank = by_rank
+        if not by_rank:
+            return
         ranks = byte_ranks(path)
         self.merge = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -76,6 +132,8 @@ class Encoder:
         return np.array(self.merge(text), dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_rank:
+            return self.by_file(texts)
         if len(self.held) > self.remember:
             self.held.clear()
             self.odd.clear()
@@ -111,8 +169,10 @@ def piece_sizes(n: int, capacity: int) -> list[int]:
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids (with end_id after the last): doc_id, piece, start, length, ids_crc32, and ids if asked."""
+    by_rank = agrees(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = Encoder(tokenizer_path, by_rank=by_rank), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             for ids, texts in slices(b, 1, 1 << 20):
                 rows = []

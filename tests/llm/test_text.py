@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import random
 import time
 import zlib
@@ -404,3 +405,54 @@ def test_repeated_pieces_take_linear_time():
     assert matcher.hits(piece * 100_000) == []
     assert matcher.hits(piece * 1000 + item)[0][1] == 0
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("source", ["{{ 'a' * 300000000 }}", "{{ 1 + 'a' }}", "{{ '%1000000000d' % 5 }}", "{{ 9 % 0 }}", "{{ 5 | length }}", "{{ " + " * ".join(["9" * 900] * 9) + " }}"])
+def test_templates_are_bounded(source):
+    with pytest.raises(chat_template.TemplateError):
+        chat_template.fold(chat_template.parse(source))
+
+
+def test_braces_in_literals():
+    tree = chat_template.fold(chat_template.parse("""{{ 'a}}b' }}{% set x = "%}" %}{{ x }}"""))
+    assert tree[0] == chat_template.Text("a}}b")
+
+
+def test_the_encoder_is_proved(tmp_path):
+    assert packing.agrees(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        data = json.load(f)
+    merges = data["model"]["merges"]
+    k = next(i for i, m in enumerate(merges) if m == ["t", "he"] or m == "t he" or i == 300)
+    merges[k], merges[k + 1] = merges[k + 1], merges[k]
+    odd = tmp_path / "odd.json"
+    odd.write_text(json.dumps(data))
+    assert not packing.agrees(str(odd))
+    texts = ["the other thing", "", "a  b\n\nc 12 \u00e9"]
+    assert packing.Encoder(str(odd), by_rank=False)(texts) == packing.Encoder(str(odd)).by_file(texts)
+
+
+def test_pieces_hold_the_tokenizers_ids(spark):
+    """Every piece of every text against the tokenizer itself, and the places against the rules of packing."""
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rows = [(k, t) for k, (_, t) in enumerate(corpus())]
+    want = {}
+    for k, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, len(ids)] if len(ids) <= 1024 else [0, *range(first, len(ids) + 1, 1024)]
+        for n, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[k, n] = (a, z - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:z])))
+    found = packing.pack_documents(documents(spark, rows), TOKENIZER).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want and len(found) == len(want)
+    held = defaultdict(list)
+    for r in found:
+        held[r.sequence_id].append((r.offset, r.length))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(held) <= 1.1 * -(-sum(r.length for r in found) // 1024) + 1
