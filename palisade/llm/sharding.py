@@ -3,7 +3,8 @@
 Rows are put in the order of (hash of the text, id), so copies of a text lie side by side. Candidate boundaries
 ("probes") cut the key space; one aggregation a round counts the exact bytes and rows between them, and the next round
 sets finer probes only where a shard boundary is still off by more than the tolerance. Then rows are exchanged once, by
-range. The driver holds counts of at most 2**12 + 2**8 x shards cells, whatever the input's size.
+range. The driver holds counts of at most 2**12 + 2**8 x targets cells; targets are the shard boundaries and one more for
+each 64 MB (range_bytes) of the input, by which slots are numbered in parallel, so they grow slowly with it.
 """
 
 import json
