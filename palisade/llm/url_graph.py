@@ -2,10 +2,11 @@
 
 Trust is a personalised PageRank that starts at trusted seed hosts and follows links; distrust starts at blocked seed
 hosts and follows links backwards, so that it reaches hosts that link to blocked ones. A host whose distrust exceeds
-its trust by the threshold is blocked. Seeds are the hosts whose own pages the rules mostly allow or mostly block. Scores
-are in units of one seed's start, so that the number of seeds on either side doesn't count.
+its trust by the threshold is blocked. Seeds are the hosts whose own pages the rules mostly allow or mostly block. Every
+seed starts with 1, so that what one seed gives doesn't depend on how many others there are on either side.
 """
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,24 +63,36 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-def rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name: str) -> DataFrame:
-    """Personalised PageRank (host, score): seeds (host, weight) sum to 1; mass at hosts without links returns to the seeds."""
+def rank(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, most_rounds: int, name: str) -> DataFrame:
+    """Personalised PageRank (host, score): seeds (host, weight) start with their weight, and each round a share `damping` of
+    what a host was last given moves on along its links, by their weight. A score is all that a host was ever given.
+
+    Scaled to a sum of 1 these are the scores of the walk that returns to the seeds where it stops or finds no link. Rounds
+    end when what still moves is at most tolerance x the seeds' weight and the last round reached no new host; a warning
+    says if most_rounds ended them first. A round writes one table of the hosts reached; the driver holds two numbers.
+    """
     out_sum = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = cut(edges.join(out_sum, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), f"{name}-steps")
-    scores = seeds.select("host", F.col("weight").alias("score"))
-    if steps.isEmpty():
-        return scores
-    for k in range(rounds):
-        moved = cut(steps.join(scores.withColumnRenamed("host", "src"), "src")
-                    .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score") * damping).alias("got")), f"{name}-moved")
-        # what isn't moved along a link returns to the seeds
-        back = 1.0 - (moved.agg(F.sum("got")).first()[0] or 0.0)
-        start = seeds.select("host", (F.col("weight") * F.lit(back)).alias("got"))
-        scores = cut(moved.unionByName(start).groupBy("host").agg(F.sum("got").alias("score")), f"{name}-{k}")
-    return scores
-
-
-def host_scores(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 10, extra_trusted=(), extra_blocked=()) -> DataFrame:
+    steps = cut(edges.join(out_sum, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("share")), f"{name}-steps")
+    scores = seeds.select("host", F.col("weight").alias("score"), F.col("weight").alias("last"))
+    start = seeds.agg(F.sum("weight").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if not start["n"] or steps.isEmpty():
+        return scores.select("host", "score")
+    before = start["n"]
+    for _ in range(most_rounds):
+        given = (steps.join(scores.filter("last > 0").select(F.col("host").alias("src"), "last"), "src")
+                 .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("last")).alias("last")))
+        both = scores.select("host", "score", F.lit(0.0).alias("last")).unionByName(given.select("host", F.col("last").alias("score"), "last"))
+        scores = cut(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("last").alias("last")), f"{name}-scores")
+        now = scores.agg(F.sum("last").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        if now["last"] <= tolerance * start["last"] and now["n"] == before:
+            break
+        before = now["n"]
+    else:
+        warnings.warn(f"{name}: {most_rounds} rounds ended with {now['last'] / start['last']:.2g} of the seeds' weight still moving", stacklevel=2)
+    return scores.select("host", "score")
+
+
+def host_scores(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, extra_trusted=(), extra_blocked=()) -> DataFrame:
     """host, trust, distrust for every host that a seed's score reaches."""
     judged = (pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
               .filter("host <> ''").withColumn("said", best_rule(rules, F.col("host"), F.col("path"), lambda r: r.verdict)))
@@ -91,9 +104,7 @@ def host_scores(pages: DataFrame, rules=DEFAULT_RULES, url_col: str = "url", htm
     edges = cut(link_edges(pages, url_col, html_col), "links")
     scores = []
     for name, seeds, graph in (("trust", trusted, edges), ("distrust", blocked, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
-        n = seeds.count()
-        found = rank(graph, seeds.select("host", F.lit(1.0 / max(n, 1)).alias("weight")), damping, rounds, name)
-        scores.append(found.select("host", (F.col("score") * n).alias(name)))
+        scores.append(rank(graph, seeds.select("host", F.lit(1.0).alias("weight")), damping, tolerance, most_rounds, name).withColumnRenamed("score", name))
     return (scores[0].join(scores[1], "host", "full_outer")
             .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
 

@@ -1,5 +1,7 @@
 """Sharding and URL filters."""
 
+import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -90,9 +92,80 @@ def power_rank(edges, seeds, damping, rounds):
 def test_rank_equals_power_iteration(spark):
     edges = {("a", "b"): 2.0, ("b", "c"): 1.0, ("c", "a"): 1.0, ("a", "d"): 1.0, ("e", "a"): 5.0}
     seeds = {"a": 0.5, "e": 0.5}
-    got = rank(spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), 0.85, 6, "t")
-    want = power_rank(edges, seeds, 0.85, 6)
-    assert {r.host: round(r.score, 9) for r in got.collect()} == {h: round(s, 9) for h, s in want.items()}
+    got = rank(spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), 0.85, 1e-7, 200, "t")
+    want = {h: s for h, s in power_rank(edges, seeds, 0.85, 300).items() if s}
+    got = {r.host: r.score for r in got.collect()}
+    assert {h: s / sum(got.values()) for h, s in got.items()} == pytest.approx(want, abs=1e-6)
+
+
+def all_visits(links, seeds, damping):
+    """What every host is ever given, each seed starting with 1; links: {src: {dst: weight}}."""
+    total, last = defaultdict(float), {s: 1.0 for s in seeds}
+    while sum(last.values()) > 1e-9:
+        for h, s in last.items():
+            total[h] += s
+        new = defaultdict(float)
+        for h, s in last.items():
+            for to, w in links.get(h, {}).items():
+                new[to] += damping * s * w / sum(links[h].values())
+        last = new
+    return total
+
+
+def brute_verdicts(rows):
+    """(host, path, rule, verdict) of each (url, html), by plain reading of the contract and of the method."""
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        return host.translate({k: k + 32 for k in range(65, 91)}), re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+    def rule_of(host, path):
+        fit = [r for r in rules if ("." + host).endswith("." + r.split("/", 1)[0]) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fit, key=len, default=None)
+
+    said, links = defaultdict(list), defaultdict(lambda: defaultdict(float))
+    for url, html in rows:
+        host, path = split(url)
+        if host:
+            said[host].append(rules.get(rule_of(host, path)))
+            for to in re.findall(r'<a href="([^"]*)"', html or ""):
+                other = split(to if "://" in to else "http:" + to if to.startswith("//") else None)[0]
+                if other and other != host:
+                    links[host][other] += 1
+    back = defaultdict(dict)
+    for a, to in links.items():
+        for b, w in to.items():
+            back[b][a] = w
+    seeds = {v: [h for h, x in said.items() if 2 * x.count(v) > len(x)] for v in ("allow", "block")}
+    trust, distrust = all_visits(links, seeds["allow"], 0.85), all_visits(back, seeds["block"], 0.85)
+    out = []
+    for url, _ in rows:
+        host, path = split(url)
+        rule = rule_of(host, path)
+        out.append((host, path, rule, rules[rule] if rule else "block" if distrust[host] > trust[host] else "allow"))
+    return out
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """A graph of 60 hosts with links, a chain of 30 hosts towards a blocked one, odd urls, nulls and repeated pages."""
+    rng = random.Random(9)
+    hosts = [f"h{k}.{rng.choice(('org', 'net', 'com', 'io'))}" for k in range(60)] + ["www.example.com", "example.com"]
+    link = lambda to: f'<a href="{to}">x</a>'
+    rows = []
+    for host in hosts:
+        for _ in range(rng.randrange(1, 4)):
+            to = [rng.choice(("http://", "https://", "//")) + rng.choice((rng.choice(hosts), rng.choice(hosts).upper())) + "/p" for _ in range(rng.randrange(4))]
+            rows.append((f"http://{host}{rng.choice(('/en/a', '/es/b', '/fr/c', '/', '', '?q', '/fr'))}", "".join(map(link, [*to, "/own"]))))
+    rows += [(f"http://c{k}.chain/", link(f"http://c{k + 1}.chain/")) for k in range(30)] + [("http://c30.chain/", link("http://far.net/")), ("http://far.net/es/1", "")]
+    rows += [(None, link("http://h0.org/")), ("no scheme", None), ("ftp://Odd.NET/es/1#f", None), ("http://", ""), rows[0], rows[0]]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.host, r.path, r.rule, r.verdict) for r in queries.op9_link_trust(spark, str(tmp_path)).orderBy("page_id").collect()]
+    want = brute_verdicts(rows)
+    assert got == want
+    assert [v for h, _, _, v in want if h.endswith(".chain")] == ["block"] * 31
+    assert len({v for _, _, rule, v in want if rule is None}) == 2
 
 
 def test_links_and_propagation(spark):
