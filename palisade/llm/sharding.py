@@ -3,8 +3,9 @@
 Rows are put in the order of (hash of the text, id), so copies of a text lie side by side. Candidate boundaries
 ("probes") cut the key space; one aggregation a round counts the exact bytes and rows between them, and the next round
 sets finer probes only where a shard boundary is still off by more than the tolerance. Then rows are exchanged once, by
-range. The driver holds counts of at most 2**12 + 2**8 x targets cells; targets are the shard boundaries and one more for
-each 64 MB (range_bytes) of the input, by which slots are numbered in parallel, so they grow slowly with it.
+range. Besides the shard boundaries there is a target for each 64 MB (range_bytes) of the input, by which slots are
+numbered in parallel; beyond MOST_RANGES of them ranges grow instead, so whatever the input's size the driver holds at
+most about MOST_CELLS cells a round and the broadcast splitters are at most MOST_RANGES + shards.
 """
 
 import json
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from palisade.sources.scratch import cut
 
 FIRST_BITS, STEP_BITS = 12, 8
+MOST_RANGES, MOST_CELLS = 1 << 16, 1 << 20
+BLOCK = 128  # splitters of one cell are searched in blocks of so many
 
 
 def text_bytes(text: Column) -> Column:
@@ -26,9 +29,15 @@ def _bits_of(column: str, kept: int) -> Column:
     return F.col(column) if kept == 64 else F.shiftright(F.col(column), 64 - kept)
 
 
-def _count(keys: DataFrame, column: str, kept: int, where: list[tuple[int, list[int]]] | None, group: list[str]) -> list:
-    if where is not None:
-        keys = keys.filter(" or ".join(where) if where else "false")
+def _as_table(keys: DataFrame, rows: list[dict], fields: str) -> DataFrame:
+    """Rows known to the driver, as a table."""
+    return keys.sparkSession.sql(f"select inline(from_json(:rows, 'array<struct<{fields}>>'))", args={"rows": json.dumps(rows)})
+
+
+def _count(keys: DataFrame, column: str, kept: int, cells: DataFrame | None, group: list[str]) -> list:
+    """Bytes and rows by the first `kept` bits of a column; of keys in `cells` only, if given."""
+    if cells is not None:
+        keys = keys.join(F.broadcast(cells), cells.columns)  # at most one cell a target
     out = keys.groupBy(*group, _bits_of(column, kept).alias("cell")).agg(
         F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"),
         F.min("_hi").alias("hi0"), F.max("_hi").alias("hi1"), F.min("_lo").alias("lo0"), F.max("_lo").alias("lo1"))
@@ -37,9 +46,14 @@ def _count(keys: DataFrame, column: str, kept: int, where: list[tuple[int, list[
 
 def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, range_bytes: int) -> tuple[list, list]:
     """keys: _hi, _lo, _size. Returns splitters (hi, lo, bytes below, rows below, shard boundary?) in order, and totals."""
-    first = sorted(_count(keys, "_hi", FIRST_BITS, None, []), key=lambda r: r["cell"])
+    first_bits = FIRST_BITS
+    first = sorted(_count(keys, "_hi", first_bits, None, []), key=lambda r: r["cell"])
     total, rows = sum(r["bytes"] for r in first), sum(r["rows"] for r in first)
+    range_bytes = max(range_bytes, total // MOST_RANGES)
     per_shard = max(1, -(-total // (n_shards * range_bytes)))
+    if n_shards * per_shard * 8 > 1 << first_bits:  # cells of an eighth of a range settle most of the targets at once
+        first_bits = (n_shards * per_shard * 8 - 1).bit_length()
+        first = sorted(_count(keys, "_hi", first_bits, None, []), key=lambda r: r["cell"])
     wanted = [total * i / (n_shards * per_shard) for i in range(1, n_shards * per_shard)]
     allowed = tolerance * total / n_shards
     least = -(2**63)
@@ -79,20 +93,21 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, range_bytes
     if not first:
         return [], [0, 0]
     end = (None, None, total, rows)
-    settle(list(range(len(wanted))), first, edges(first, (0, 0), lambda r: (r["cell"] << (64 - FIRST_BITS), least)), lambda r: _next_cell(r, "_hi", FIRST_BITS, r["cell"]), end)
+    settle(list(range(len(wanted))), first, edges(first, (0, 0), lambda r: (r["cell"] << (64 - first_bits), least)), lambda r: _next_cell(r, "_hi", first_bits, r["cell"]), end)
     while open_cells:
         now, open_cells = open_cells, {}
         held, seen = seen, {}
         for column, kept in sorted({k[:2] for k in now}):
             some = {k: v for k, v in now.items() if k[:2] == (column, kept)}
-            more = min(64, kept + STEP_BITS)
+            step = max(1, min(STEP_BITS, (MOST_CELLS // len(some)).bit_length() - 1))
+            more = min(64, kept + step)
             if column == "_hi":
-                where = [f"shiftright(_hi, {64 - kept}) = {k[3]}" for k in some]
-                found = _count(keys, "_hi", more, where, [])
+                cells = _as_table(keys, [{"_cell": k[3]} for k in some], "_cell: bigint")
+                found = _count(keys.withColumn("_cell", _bits_of("_hi", kept)), "_hi", more, cells, [])
                 owner = lambda r: ("_hi", kept, None, r["cell"] >> (more - kept))  # noqa: B023, E731
             else:
-                where = [f"(_hi = {k[2]}" + (f" and shiftright(_lo, {64 - kept}) = {k[3]})" if kept else ")") for k in some]
-                found = _count(keys, "_lo", more, where, ["_hi"])
+                cells = _as_table(keys, [{"_hi": k[2], "_cell": k[3] if kept else 0} for k in some], "_hi: bigint, _cell: bigint")
+                found = _count(keys.withColumn("_cell", _bits_of("_lo", kept) if kept else F.lit(0).cast("long")), "_lo", more, cells, ["_hi"])
                 owner = lambda r: ("_lo", kept, r["_hi"], (r["cell"] >> (more - kept)) if kept else None)  # noqa: B023, E731
             by: dict[tuple, list] = {k: [] for k in some}
             for r in found:
@@ -146,17 +161,19 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     cells, below = [], 0
     half = 1 << (FIRST_BITS - 1)
     for cell in range(-half, half):
-        cells.append({"c": cell, "b": below, "s": within.get(cell, [])})
-        below += len(within.get(cell, []))
-    table = spark.createDataFrame([], "c int, b int, s array<struct<hi: bigint, lo: bigint>>") if not cells else spark.sql(
-        "select inline(from_json(:cells, 'array<struct<c: bigint, b: int, s: array<struct<hi: bigint, lo: bigint>>>>'))", args={"cells": json.dumps(cells)})
-    passed = "filter(_s, x -> x.hi < _hi or (x.hi = _hi and x.lo <= _lo))"
+        own = within.get(cell, [])
+        cells.append({"c": cell, "b": below, "s": own, "t": own[::BLOCK]})
+        below += len(own)
+    table = _as_table(keys, cells, "c: bigint, b: int, s: array<struct<hi: bigint, lo: bigint>>, t: array<struct<hi: bigint, lo: bigint>>")
+    passed = lambda x: f"size(filter({x}, x -> x.hi < _hi or (x.hi = _hi and x.lo <= _lo)))"
+    at_block = f"{passed('_t')} - 1"  # the last block whose first splitter lies below the row
+    inside = f"if({passed('_t')} = 0, 0, ({at_block}) * {BLOCK} + {passed(f'slice(_s, ({at_block}) * {BLOCK} + 1, {BLOCK})')})"
     out = (docs.withColumn("_c", F.shiftright("_hi", 64 - FIRST_BITS))
-           .join(F.broadcast(table.select(F.col("c").alias("_c"), F.col("b").alias("_b"), F.col("s").alias("_s"))), "_c")
-           .withColumn("_range", F.col("_b") + F.expr(f"size({passed})")))
+           .join(F.broadcast(table.select(F.col("c").alias("_c"), F.col("b").alias("_b"), F.col("s").alias("_s"), F.col("t").alias("_t"))), "_c")
+           .withColumn("_range", F.col("_b") + F.expr(inside)))
     before = F.from_json(F.lit(json.dumps(spans)), "array<bigint>")
     place = F.row_number().over(W.partitionBy("_range").orderBy("_hi", "_lo"))
     return (out.withColumn("_place", place)
             .withColumn("shard", F.floor(F.col("_range") / max(1, per_shard)).cast("int"))
             .withColumn("slot", (F.element_at(before, F.col("_range") + 1) + F.col("_place") - 1).cast("long"))
-            .drop("_size", "_hi", "_lo", "_c", "_b", "_s", "_range", "_place"))
+            .drop("_size", "_hi", "_lo", "_c", "_b", "_s", "_t", "_range", "_place"))

@@ -6,8 +6,9 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
-from palisade.llm import queries
+from palisade.llm import queries, sharding
 from palisade.llm.sharding import shard_documents
 from palisade.llm.url_graph import Rule, judge_urls, link_edges, rank
 from tests.llm.helpers import corpus, documents
@@ -50,6 +51,32 @@ def test_empty(spark):
     assert shard_documents(documents(spark, []), 4).count() == 0
 
 
+def brute_shards(rows, n):
+    """(id, shard, slot) by sorting all rows by key and cutting where the bytes below come closest to equal shares."""
+    def key(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
+        return (h - (1 << 64) if h >> 63 else h, -(2**63) if row[0] is None else row[0])
+
+    ordered = sorted(rows, key=key)
+    sizes = [len((t or "").encode()) + 1 for _, t in ordered]
+    total, below = sum(sizes), [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    cuts = [min(range(len(below)), key=lambda k: (abs(below[k] - total * i / n), k)) for i in range(1, n)]
+    bounds = [0, *cuts, len(ordered)]
+    return sorted((i, shard, slot) for shard in range(n) for slot, (i, _) in enumerate(ordered[bounds[shard]:bounds[shard + 1]]))
+
+
+@pytest.mark.parametrize("most_ranges, most_cells, block, range_bytes", [(1 << 16, 1 << 20, 128, 64 << 20), (1 << 16, 1 << 20, 3, 20), (1 << 16, 64, 2, 300), (40, 1 << 20, 128, 60)])
+def test_shards_equal_brute_force(spark, monkeypatch, most_ranges, most_cells, block, range_bytes):
+    """A third of the rows hold one text; ranges, cells and blocks are small in turn."""
+    monkeypatch.setattr(sharding, "MOST_RANGES", most_ranges)
+    monkeypatch.setattr(sharding, "MOST_CELLS", most_cells)
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(k * 7 - 900, "hot text" if k % 3 == 0 else None if k % 50 == 1 else "x" * rng.randrange(60) + str(k)) for k in range(600)] + [(2**62, "y" * 900), (-(2**62), "hot text")]
+    got = shard_documents(documents(spark, rows), 7, tolerance=0.0, range_bytes=range_bytes).select("doc_id", "shard", "slot").collect()
+    assert sorted(map(tuple, got)) == brute_shards(rows, 7)
+
+
 def test_query_columns(spark, tmp_path):
     documents(spark, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op5_histogram_shards(spark, str(tmp_path)).collect()
