@@ -331,10 +331,22 @@ def labelled_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>{page}" + rng.choice(("</body></html>", ""))
 
 
+_SECTION = re.compile(r"<(/?)(?:article|aside|footer|header|main|nav|section)\b[^>]*>")
+_NAMED = re.compile(r' (?:class|id)="[^"]*"')
+
+
+def plain_page(rng: random.Random) -> str:
+    """A labelled page that names nothing: no class, no id, and plain boxes or layout tables for its sections."""
+    start, end = ("<table><tr><td>", "</td></tr></table>") if rng.random() < 0.3 else ("<div>", "</div>")
+    return _SECTION.sub(lambda m: end if m[1] else start, _NAMED.sub("", labelled_page(rng)))
+
+
 @functools.cache
-def trained_model(pages: int = 1000, seed: int = 7) -> TreeModel:
+def trained_model(pages: int = 1000, plain: int = 300, seed: int = 7) -> TreeModel:
+    """Trained on made-up pages, most with names that hint at an element's part and some (`plain`) without any."""
     rng = random.Random(seed)
-    return TreeModel([Page(labelled_page(rng)) for _ in range(pages)])
+    named = [Page(labelled_page(rng)) for _ in range(pages)]
+    return TreeModel(named + [Page(plain_page(rng)) for _ in range(plain)])
 
 
 def extract(html: str | None, model: TreeModel) -> str:
