@@ -39,42 +39,66 @@ def modularity(links: DataFrame, labels: DataFrame) -> float:
     return 2 * row["inside"] / row["degree"] - row["square"] / row["degree"] ** 2
 
 
-def communities(edges: DataFrame, seed: int = 42, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
-    """node, community of the undirected graph, by local moves that raise modularity (Louvain's first phase).
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
-    All nodes of half the graph (by a seeded hash of node and round) look at once for the neighbouring community with the
-    highest gain; a round is kept only if modularity rises, so swapped moves can't loop. Labels are node ids; the driver
-    holds one number a round.
+
+def local_moves(links: DataFrame, seed: int = 42, resolution: float = 1.0, least_rise: float = 1e-3, patience: int = 2) -> tuple[DataFrame, bool]:
+    """node, community by moves of single nodes, and whether any move raised modularity. links: a, b (a <= b), weight.
+
+    A share of the nodes (half of them; by a seeded hash of node and round) looks at once for the neighbouring community
+    with the highest gain. A round counts only if modularity rises; after one that doesn't, half as many nodes look, and
+    after `patience` of them only the node that gains most. Moves end when that raises nothing either. Labels are node ids;
+    the driver holds a few numbers a round.
     """
-    links = (edges.filter("owner <> asset").select(F.least("owner", "asset").alias("a"), F.greatest("owner", "asset").alias("b")).distinct().withColumn("weight", F.lit(1.0)))
-    links = scratch.cut(links, "links")
-    both = scratch.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "both")
-    degree = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
+    degree = scratch.cut(_both_ways(links).groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
+    both = scratch.cut(_both_ways(links.filter("a <> b")), "both")
     total = degree.agg(F.sum("degree")).first()[0] or 0.0
-    labels = scratch.cut(degree.select("node", F.col("node").alias("community")), "labels")
-    best = modularity(links, labels)
-    idle = 0
-    for k in range(rounds):
-        sums = labels.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("tot"))
-        near = (both.join(labels.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("inside")))
+    labels = degree.select("node", F.col("node").alias("community"))
+    best, idle, rose, k = modularity(links, labels), 0, False, 0
+    while idle <= patience:
         own = labels.join(degree, "node")
+        sums = own.groupBy("community").agg(F.sum("degree").alias("tot"))
+        near = (both.join(labels.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("inside")))
         options = near.join(own, "node").join(sums.withColumnRenamed("community", "to"), "to")
+        alone = own.join(sums, "community").select("node", (-F.lit(resolution) * F.col("degree") * (F.col("tot") - F.col("degree")) / F.lit(total)).alias("alone"))
         others = F.col("tot") - F.when(F.col("to") == F.col("community"), F.col("degree")).otherwise(0.0)
         gain = F.col("inside") - F.lit(resolution) * F.col("degree") * others / F.lit(total)
         stay = F.max(F.when(F.col("to") == F.col("community"), F.col("gain")))
-        picked = (options.withColumn("gain", gain).groupBy("node", "community")
-                  .agg(F.max(F.struct("gain", "to")).alias("top"), F.coalesce(stay, F.lit(0.0)).alias("stay")))
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node"), F.lit(2)) == 0
-        moved = picked.select("node", F.when(turn & (F.col("top.gain") > F.col("stay") + 1e-12), F.col("top.to")).otherwise(F.col("community")).alias("community"))
-        moved = scratch.cut(moved, "labels")
-        now = modularity(links, moved)
-        if now > best + 1e-9:
-            labels, best, idle = moved, now, 0
+        picked = (options.withColumn("gain", gain).groupBy("node", "community").agg(F.max(F.struct("gain", "to")).alias("top"), stay.alias("stay"))
+                  .join(alone, "node").select("node", F.col("top.to").alias("to"), (F.col("top.gain") - F.coalesce("stay", "alone")).alias("more")).filter("more > 1e-12"))
+        wishes = scratch.cut(picked, "wishes")
+        if wishes.isEmpty():
+            break
+        turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node"), F.lit(2 << idle)) == 0
+        movers = wishes.filter(turn) if idle < patience else wishes.orderBy(F.desc("more"), "node").limit(1)
+        moved = scratch.cut(labels.join(movers, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "labels")
+        now, k = modularity(links, moved), k + 1
+        if now > best + least_rise:
+            labels, best, idle, rose = moved, now, 0, True
         else:
             idle += 1
-            if idle == 3:
-                break
-    return labels
+    return labels, rose
+
+
+def communities(edges: DataFrame, seed: int = 42, resolution: float = 1.0, least_rise: float = 1e-3) -> DataFrame:
+    """node, community of the undirected graph, by Louvain's two phases in turn until neither raises modularity by least_rise.
+
+    Nodes move between communities; then each community becomes one node, with what it holds inside as a loop, and these
+    move. Labels are ids of nodes.
+    """
+    links = edges.filter("owner <> asset").select(F.least("owner", "asset").alias("a"), F.greatest("owner", "asset").alias("b")).distinct().withColumn("weight", F.lit(1.0))
+    links, labels = scratch.cut(links, "links"), None
+    while True:
+        found, rose = local_moves(links, seed, resolution, least_rise)
+        up = found.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        labels = found if labels is None else scratch.cut(labels.join(up, "community").select("node", F.col("_up").alias("community")), "labels")
+        if not rose:
+            return labels
+        of = lambda end: found.select(F.col("node").alias(end), F.col("community").alias(f"_{end}"))  # noqa: B023, E731
+        joined = links.join(of("a"), "a").join(of("b"), "b")
+        links = scratch.cut(joined.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("weight").alias("weight")), "links")
+        seed += 1
 
 
 def community_profile(labels: DataFrame, nodes: DataFrame, top: int = 15) -> DataFrame:

@@ -99,3 +99,24 @@ def test_communities_find_cliques(spark):
     nodes = labels.selectExpr("node", "'Entity' as entity_type", "array(substr(node, 1, 1)) as programs")
     top = communities.community_profile(labels, nodes).collect()
     assert sum(r["size"] for r in top) == 15
+
+
+def test_communities_end_where_no_merge_or_move_gains(spark):
+    """Against all single moves and merges of the final communities, by modularity's definition."""
+    rng = random.Random(6)
+    links = {tuple(sorted((f"{g}.{i}", f"{g}.{j}"))) for g in range(12) for i in range(5) for j in range(i)}
+    links |= {tuple(sorted((f"{g}.0", f"{(g + 1) % 12}.0"))) for g in range(12)}
+    links |= {tuple(sorted(rng.sample([f"{g}.{i}" for g in range(12) for i in range(5)], 2))) for _ in range(15)}
+    edges = spark.createDataFrame([(a, b, None) for a, b in links] + [("0.0", "0.0", None), ("0.1", "0.0", 0.5)], "owner string, asset string, weight double")
+    label = {r.node: r.community for r in communities.communities(edges, least_rise=1e-6).collect()}
+    degree = {n: sum(n in e for e in links) for n in label}
+
+    def quality(of):
+        inside = sum(of[a] == of[b] for a, b in links) / len(links)
+        return inside - sum((sum(degree[n] for n in of if of[n] == c) / (2 * len(links))) ** 2 for c in set(of.values()))
+
+    reached = quality(label)
+    assert set(label) == {n for e in links for n in e}
+    assert all(quality({n: c if x == d else x for n, x in label.items()}) <= reached + 1e-5 for c in set(label.values()) for d in set(label.values()))
+    assert all(quality(label | {n: c}) <= reached + 1e-5 for n in label for c in set(label.values()))
+    assert reached > 0.7
