@@ -15,6 +15,11 @@ def bits_for(cells: float) -> int:
     return int(min(MOST_BITS, max(CHUNK_BITS, np.ceil(np.log2(max(1.0, cells))))))
 
 
+def fits(cells: float) -> bool:
+    """Does a row of so many cells stay within 2**MOST_BITS?"""
+    return cells <= 1 << MOST_BITS
+
+
 def packed(cells: np.ndarray, rows: int = 1, row: int = 0) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     """By chunk of cells: number, the cells hit (2 bytes each), and a bit for each that is hit twice or more."""
     cells = np.sort(cells)

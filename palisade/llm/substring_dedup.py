@@ -6,6 +6,10 @@ cells of two count-min rows that its documents' minimisers fall into; the tasks'
 into one bit a cell: hit by two documents or more. Pass 2 hashes every window whose minimiser's cells are both set, and
 groups these exactly, by 128 bits, to the smallest document id. No window that repeats is lost: a cell that two documents
 hit is set. Exact copies of a text are set aside before, by its 128-bit hash.
+
+The merged bits are broadcast while they fit `sketch.MOST_BITS` (about 7 GB of text). Beyond it they would be full and
+keep every window, so there the sketch stays a table, one row of 2**64 cells counted by a grouping, and each text gets the
+cells of its own that two documents hit. Both ways overestimate only, so results are the same.
 """
 
 from collections.abc import Iterator
@@ -56,9 +60,9 @@ def cells_of(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(hashes + MIX[r + 1]) >> np.uint64(64 - bits)).astype(np.int64) for r in range(ROWS)]
 
 
-def sketch_bits(total_bytes: int) -> int:
-    """Cells a row (as a power of 2): about six for each minimiser that so many bytes hold."""
-    return sketch.bits_for(total_bytes / 80 * 6)
+def cells_wanted(total_bytes: int) -> float:
+    """About six cells a row for each minimiser that so many bytes hold."""
+    return total_bytes / 80 * 6
 
 
 def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
@@ -93,6 +97,13 @@ def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
 WINDOWS = "w1 long, w2 long, id long, text long, at int"
 
 
+def _window_rows(flat: np.ndarray, starts: np.ndarray, at: np.ndarray, owner: np.ndarray, ids: list, hashes: list, window: int) -> pa.RecordBatch:
+    w1 = poly_windows(mix(flat + MIX[1]), window, MIX[2])[at]
+    w2 = poly_windows(mix(flat + MIX[2]), window, MIX[3])[at]
+    return pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.array(ids, np.int64)[owner]),
+                            pa.array(np.array(hashes, np.int64)[owner]), pa.array((at - starts[owner]).astype(np.int32))], ["w1", "w2", "id", "text", "at"])
+
+
 def repeated_windows(texts: DataFrame, held, bits: int, window: int) -> DataFrame:
     """Windows that the sketch holds for repeated. texts: id, text, hash of the text; held: the sketch as a Spark broadcast."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,22 +112,55 @@ def repeated_windows(texts: DataFrame, held, bits: int, window: int) -> DataFram
             for ids, part, hashes in slices(b, 1):
                 flat, starts = flat_hashes(map(words_of, part), cache)
                 at, owner, least = minimisers(flat, starts, window)
-                if not len(at):
-                    continue
                 keep = np.ones(len(at), bool)
                 for bitmap, cells in zip(bitmaps, cells_of(least, bits), strict=True):
                     keep &= sketch.is_set(bitmap, cells)
-                at, owner = at[keep], owner[keep]
-                if not len(at):
-                    continue
-                w1 = poly_windows(mix(flat + MIX[1]), window, MIX[2])[at]
-                w2 = poly_windows(mix(flat + MIX[2]), window, MIX[3])[at]
-                yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.array(ids, np.int64)[owner]),
-                                       pa.array(np.array(hashes, np.int64)[owner]), pa.array((at - starts[owner]).astype(np.int32))], ["w1", "w2", "id", "text", "at"])
+                if keep.any():
+                    yield _window_rows(flat, starts, at[keep], owner[keep], ids, hashes, window)
 
     return texts.mapInArrow(tidied(run), WINDOWS)
 
 
+def _wide_cells(least: np.ndarray) -> np.ndarray:
+    return mix(least + MIX[1]).view(np.int64)
+
+
+def shared_cells(texts: DataFrame, window: int) -> DataFrame:
+    """id, hash, cells: of each text the cells (of 2**64) that two documents' minimisers or more fall into."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for ids, part, hashes in slices(b, 1):
+                flat, starts = flat_hashes(map(words_of, part), cache)
+                _, owner, least = minimisers(flat, starts, window)
+                if not len(least):
+                    continue
+                who, cells = np.unique(np.stack([owner, _wide_cells(least)]), axis=1)
+                yield pa.record_batch([pa.array(np.array(ids, np.int64)[who]), pa.array(np.array(hashes, np.int64)[who]), pa.array(cells)], ["id", "hash", "cell"])
+
+    cells = scratch.cut(texts.mapInArrow(tidied(run), "id long, hash long, cell long"), "minimisers")
+    # written before the join, so that Spark may split a cell that very many documents hit
+    often = scratch.cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell"), "cells")
+    return cells.join(often, "cell", "left_semi").groupBy("id", "hash").agg(F.collect_set("cell").alias("cells"))
+
+
+def windows_of_cells(texts: DataFrame, window: int) -> DataFrame:
+    """What repeated_windows gives, by a sketch that stays a table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for ids, part, hashes, cells in slices(b, 1):
+                flat, starts = flat_hashes(map(words_of, part), cache)
+                at, owner, least = minimisers(flat, starts, window)
+                keep = np.isin(_wide_cells(least), np.concatenate([np.array(c, np.int64) for c in cells]))
+                if keep.any():
+                    yield _window_rows(flat, starts, at[keep], owner[keep], ids, hashes, window)
+
+    own = shared_cells(texts, window).select(F.col("id").alias("c_id"), F.col("hash").alias("c_hash"), "cells")
+    held = texts.join(own, (F.col("id") == F.col("c_id")) & (F.col("h1") == F.col("c_hash"))).select("id", "text", "h1", "cells")
+    return held.mapInArrow(tidied(run), WINDOWS)
+
+
 def cover(words: list[bytes], at: list[int] | None, everything: bool, window: int) -> tuple[list[bytes], int]:
     """Kept words, and how many were removed."""
     if everything:
@@ -145,10 +189,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, window: int, carried: l
     copies = F.broadcast(same) if few else same
     marked = long_enough.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     texts = marked.filter("not copy").select("id", "text", "h1")
-    bits = sketch_bits(total)
-    held = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, window))
-    found = scratch.cut(repeated_windows(texts, held, bits, window), "windows")
-    held.unpersist()
+    if sketch.fits(wanted := cells_wanted(total)):
+        bits = sketch.bits_for(wanted)
+        held = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, window))
+        found = scratch.cut(repeated_windows(texts, held, bits, window), "windows")
+        held.unpersist()
+    else:
+        found = scratch.cut(windows_of_cells(texts, window), "windows")
     # written before the join, so that Spark may split a window that very many documents hold
     firsts = scratch.cut(found.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
                          .select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first"), "firsts")

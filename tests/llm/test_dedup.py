@@ -133,8 +133,17 @@ def test_removed_words_equal_brute_force(spark, monkeypatch, broadcast):
     assert got == brute_removed(corpus())
 
 
+@pytest.mark.parametrize("most_bits", [0, 8])
+def test_a_sketch_kept_as_a_table(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(sketch, "MOST_BITS", most_bits)
+    docs = documents(spark)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == brute_removed(corpus())
+    assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
+
+
 def test_overfull_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(sketch, "MOST_BITS", 16)
+    monkeypatch.setattr(sketch, "is_set", lambda bitmap, cells: cells >= 0)
     rows = corpus()[:40]
     got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.remove_repeats(documents(spark, rows)).collect())
     assert got == brute_removed(rows)
