@@ -1,8 +1,5 @@
 """Screening: a stated set of query names against a corpus of any size."""
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +7,10 @@ from pyspark.sql import functions as F
 from palisade.functions import kernels
 from palisade.functions.folding import normalize
 from palisade.functions.scores import ENSEMBLE_WEIGHTS
+from palisade.operators.best_match import SCORERS, best_rows
+from palisade.sources import scratch
 
-SCORERS = ("jw", "ts", "ph", "ens")
+TASK_NAMES = 20_000
 
 
 def build_corpus(akas: DataFrame) -> DataFrame:
@@ -35,11 +34,15 @@ def with_ordinal(rows: DataFrame, name: str, *order: str) -> DataFrame:
             .withColumn(name, F.col("_before") + F.col("_in")).drop("_at", "_part", "_in", "_before"))
 
 
+def with_codes(names: DataFrame) -> DataFrame:
+    """names (of a column norm) with codes; names without any sound code stand for themselves there."""
+    return names.withColumn("codes", kernels.metaphone_of(F.col("norm"))).withColumn("codes", F.when(F.col("codes") == "", F.col("norm")).otherwise(F.col("codes")))
+
+
 def prepared(names: DataFrame, name_col: str) -> DataFrame:
-    """names with norm and codes; names without any sound code stand for themselves there."""
+    """names with norm and codes; each normalised name's codes are made once."""
     norm = names.withColumn("norm", normalize(F.col(name_col)))
-    codes = norm.select("norm").distinct().withColumn("codes", kernels.metaphone_of(F.col("norm")))
-    return norm.join(codes, "norm").withColumn("codes", F.when(F.col("codes") == "", F.col("norm")).otherwise(F.col("codes")))
+    return norm.join(with_codes(norm.select("norm").distinct()), "norm")
 
 
 def score_all_queries(queries: DataFrame, corpus: DataFrame, block: int = 5000, weights=None) -> DataFrame:
@@ -47,33 +50,20 @@ def score_all_queries(queries: DataFrame, corpus: DataFrame, block: int = 5000,
 
     queries: q_ord, query_name, ...; corpus: c_ord, entity_id, name. The query set is the stated one: its distinct names go
     to the corpus's tasks in blocks of `block`; each task keeps the best row per query and scorer, so no pair leaves it.
-    Ties go to the lowest c_ord. Names normalise to scores of 0 where empty.
+    Corpus rows of one normalised name are one, that with the lowest c_ord, and kernels run only on pairs whose upper
+    bounds reach the task's best. Ties go to the lowest c_ord. Names normalise to scores of 0 where empty.
     """
     w = dict(weights or ENSEMBLE_WEIGHTS)
-    spread = max(corpus.sparkSession.sparkContext.defaultParallelism, 1)
-    side = prepared(corpus, "name").select("c_ord", "entity_id", "norm", "codes").repartition(spread)
+    first = corpus.groupBy(normalize(F.col("name")).alias("norm")).agg(F.min("c_ord").alias("c_ord"), F.min_by("entity_id", "c_ord").alias("entity_id"))
+    side = scratch.cut(with_codes(first).select("c_ord", "entity_id", "norm", "codes"), "corpus")
+    spread = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-side.count() // TASK_NAMES))
+    side = side.repartition(spread)
     wanted = prepared(queries.select("query_name").distinct(), "query_name").select("norm", "codes").distinct()
     fields = "norm string, scorer string, entity_id string, c_ord long, score double"
     out, held = None, []
 
     def scored(rows: list[tuple[str, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[tuple[str, str], tuple[float, int, str]] = {}
-            for b in batches:
-                for order, entity, norm, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for query, query_codes in rows:
-                        jw, ts = kernels.jaro_winkler(query, norm), kernels.token_set(query, norm)
-                        ph = kernels.token_set(query_codes, codes)
-                        ens = w.get("jaro_winkler", 0) * jw + w.get("token_set", 0) * ts + w.get("phonetic", 0) * ph
-                        for kind, score in zip(SCORERS, (jw, ts, ph, ens), strict=True):
-                            now = best.get((query, kind))
-                            if now is None or (score, -order) > (now[0], -now[1]):
-                                best[query, kind] = (score, order, entity)
-            if best:
-                cols = [(q, k, e, o, s) for (q, k), (s, o, e) in best.items()]
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*cols, strict=True), kinds, strict=True)], ["norm", "scorer", "entity_id", "c_ord", "score"])
-        return side.mapInArrow(run, fields)
+        return side.mapInArrow(lambda batches: best_rows(batches, rows, w), fields)
 
     for row in wanted.toLocalIterator():
         held.append((row["norm"], row["codes"]))

@@ -1,12 +1,15 @@
 """Corpus, scoring, blocking, query generation, evaluation and streams."""
 
 import datetime
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.functions import kernels
 from palisade.functions.scores import plain_scores
-from palisade.operators import blocking, evaluation, profile, querygen, screening
+from palisade.operators import best_match, blocking, evaluation, profile, querygen, screening
 from palisade.streaming.screen import screen_stream, windowed_counts
 
 NAMES = ["JOHN SMITH", "AHMED HASSAN AL-RASHID", "IVAN PETROV", "JON SMYTHE", "", "JOHN SMITH"]
@@ -37,6 +40,30 @@ def test_best_matches_equal_all_pairs(spark, block):
     assert (got[0].ens_match_id, got[0].ens_score) == ("e0", pytest.approx(1.0))
 
 
+@pytest.mark.parametrize("weights", [{"jaro_winkler": 0.4, "token_set": 0.4, "phonetic": 0.2}, {"jaro_winkler": -1.0, "token_set": 0.5, "phonetic": 0.5}])
+def test_bounds_lose_no_best_row(weights):
+    rng = random.Random(9)
+    words = ["al", "hassan", "hasan", "petrov", "petrova", "ivan", "john", "jon", "smith", "smyth", "é", "中文", "x" * 300, "a"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randrange(0, 5))) for _ in range(300)} | {""})
+    sounds = [kernels.metaphone_string(n) or n for n in names]
+    asked = [(n[1:], kernels.metaphone_string(n[1:]) or n[1:]) for n in names[::3]]
+    orders = rng.sample(range(1000), len(names))
+    rows = list(zip(orders, [f"e{o}" for o in orders], names, sounds, strict=True))
+    kinds = pa.schema([("c_ord", pa.int64()), ("entity_id", pa.string()), ("norm", pa.string()), ("codes", pa.string())])
+    batches = [pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds) for part in (rows[:100], rows[100:])]
+    got = {(r["norm"], r["scorer"]): (r["score"], r["c_ord"], r["entity_id"]) for b in best_match.best_rows(iter(batches), asked, weights) for r in b.to_pylist()}
+    want = {}
+    for norm, sound in asked:
+        for o, e, n, c in rows:
+            jw, ts, ph = kernels.jaro_winkler(norm, n), kernels.token_set(norm, n), kernels.token_set(sound, c)
+            ens = weights["jaro_winkler"] * jw + weights["token_set"] * ts + weights["phonetic"] * ph
+            for kind, s in zip(best_match.SCORERS, (jw, ts, ph, ens), strict=True):
+                now = want.get((norm, kind))
+                if now is None or (s, -o) > (now[0], -now[1]):
+                    want[norm, kind] = (s, o, e)
+    assert got == want
+
+
 def test_build_corpus(spark):
     df = akas(spark)[0].withColumn("is_primary", F.col("entity_id") != "e4")
     rows = screening.build_corpus(df).orderBy("c_ord").collect()
