@@ -33,7 +33,8 @@ HINTS = {
     "content": frozenset("article articlebody content entry post story main body text copy prose".split()),
     "boiler": frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice pagination popup promo recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe tags toolbar widget".split())}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|(<!\[CDATA\[)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _END_RAW = {t: re.compile(rf"</{t}\s*/?>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z]+")
@@ -53,20 +54,26 @@ class Page:
         stack = [("#", 0, True)]  # element, node, is a node of its own
         self.places: dict[str, list[int]] = defaultdict(list)  # in the stack, of each kind of element
         self.blocks = [0]  # places of elements that aren't inline
+        self.ends: dict[int, int] = {}  # of tags, by the quotes that open within them
+        cdata = True  # a section may still end
         at = 0
-        finder = _TAG
         while at < len(html):
-            m = finder.search(html, at)
+            m = _TAG.search(html, at)
             end = m.start() if m else len(html)
             if end > at and not self.skip:
                 self._text(stack[-1][1], html[at:end], len(self.places["a"]))
             if not m:
                 break
             at = m.end()
-            shut, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if name is None:
+            if m[1]:
+                end = html.find("]]>", at) if cdata else -1
+                cdata = end >= 0
+                at = end + 3 if cdata else html.find(">", at) + 1 or len(html)
+            if m[3] is None:
                 continue
-            name = name.lower()
+            shut, name = m[2], m[3].lower()
+            end = self._tag_end(html, at)
+            attrs, at = html[at:end], end + 1
             if shut:
                 place = self._last(name)
                 if place and (name not in INLINE or place > self.blocks[-1]):
@@ -99,6 +106,28 @@ class Page:
                 stack.append((name, node, own))
                 self.skip += name in DROPPED
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Place of the ">" that ends the tag whose attributes begin there: the first outside of quotes, else the first.
+
+        From an opening quote on, all tags end alike, so each quote is followed once.
+        """
+        opened, here, end = [], at, -1
+        while m := _STOP.search(html, here):
+            if m[0] == ">":
+                end = m.start()
+                break
+            if m.start() in self.ends:
+                end = self.ends[m.start()]
+                break
+            opened.append(m.start())
+            here = html.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.ends.update(dict.fromkeys(opened, end))
+        if end < 0:
+            end = html.find(">", at)
+        return end if end >= 0 else len(html)
+
     def _last(self, *names: str) -> int:
         """Place in the stack of the innermost open element of these kinds; 0 if there is none."""
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)

@@ -456,3 +456,15 @@ def test_pieces_hold_the_tokenizers_ids(spark):
             at += length
         assert at <= 1024
     assert len(held) <= 1.1 * -(-sum(r.length for r in found) // 1024) + 1
+
+
+@pytest.mark.parametrize("piece", ['<a ">"', "<p '>", '<a b="', "<![CDATA[ ", "<br '\">"])
+def test_unclosed_quotes_take_linear_time(piece):
+    began = time.perf_counter()
+    html_model.Page(piece * 50_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_tags_end_outside_of_quotes():
+    page = html_model.Page("<p title='a > b'>one</p><p title=\"x>two</p><![CDATA[ gone ]]><p>three")
+    assert page.text([True] * len(page.tag)) == "one two three"
