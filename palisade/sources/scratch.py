@@ -12,11 +12,15 @@ _label: list[str | None] = [None]
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset and all runs in one place,
+    as in tests. On a cluster without the setting this is an error: executors don't share the driver's folders."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palisade-"))
             held = spark.sparkContext.getCheckpointDir()
         own = held

@@ -1,10 +1,11 @@
 """List XML, flat files, JSON lines and kept results."""
 
 import datetime
+from types import SimpleNamespace
 
 import pytest
 
-from palisade.sources import advanced_xml, flat_files
+from palisade.sources import advanced_xml, flat_files, scratch
 
 LIST = """<?xml version="1.0" encoding="utf-8"?>
 <Sanctions xmlns="http://example.org/list">
@@ -135,3 +136,11 @@ def test_read_through(spark, tmp_path):
     for _ in range(2):
         assert flat_files.read_through(spark, str(tmp_path / "kept"), make).count() == 3
     assert made == [1]
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, other: other))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.folder(session)
