@@ -33,7 +33,7 @@ HINTS = {
     "content": frozenset("article articlebody content entry post story main body text copy prose".split()),
     "boiler": frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice pagination popup promo recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe tags toolbar widget".split())}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|(<!\[CDATA\[)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(!\[CDATA\[)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^<>"']++|"[^"<>]*"|'[^'<>]*')*+)>)?""", re.S)
 _STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _END_RAW = {t: re.compile(rf"</{t}\s*/?>", re.I) for t in RAW}
@@ -71,9 +71,10 @@ class Page:
                 at = end + 3 if cdata else html.find(">", at) + 1 or len(html)
             if m[3] is None:
                 continue
-            shut, name = m[2], m[3].lower()
-            end = self._tag_end(html, at)
-            attrs, at = html[at:end], end + 1
+            shut, name, attrs = m[2], m[3].lower(), m[4]
+            if attrs is None:  # quotes that hold angle brackets, or don't close
+                end = self._tag_end(html, at)
+                attrs, at = html[at:end], end + 1
             if shut:
                 place = self._last(name)
                 if place and (name not in INLINE or place > self.blocks[-1]):
