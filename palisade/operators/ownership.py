@@ -80,9 +80,13 @@ def _fold_paths(used: DataFrame, known: DataFrame, roots: DataFrame) -> DataFram
 
 
 def flag_blocked(edges: DataFrame, nodes: DataFrame, listed: DataFrame, threshold: float = 0.5, unknown_weight: float = 1.0) -> DataFrame:
-    """node, fraction (4 digits) of nodes that aren't listed and whose fraction, before rounding, reaches the threshold."""
+    """node, fraction (4 digits) of nodes that aren't listed and whose fraction, before rounding, reaches the threshold.
+
+    Sums of doubles differ in their last bits by the order of the owners, so 12 digits of the fraction count: what stands
+    exactly on the threshold or halfway between two results (then the even one) is decided as such.
+    """
     out = listed_fractions(edges, nodes, listed, unknown_weight).join(listed.select("node").distinct(), "node", "left_anti")
-    return out.filter(F.col("fraction") >= threshold).select("node", F.bround("fraction", 4).alias("fraction"))
+    return out.withColumn("fraction", F.round("fraction", 12)).filter(F.col("fraction") >= threshold).select("node", F.bround("fraction", 4).alias("fraction"))
 
 
 def paths(edges: DataFrame, start: DataFrame, cutoff: int = 6, unknown_weight: float = 1.0, down: bool = True, targets: DataFrame | None = None) -> DataFrame:

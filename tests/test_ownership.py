@@ -61,6 +61,15 @@ def test_flags(spark):
     assert {r.node for r in ownership.flag_blocked(*parts, threshold=0.0).collect()} == set("ABCDEFG")
 
 
+def test_flags_on_the_border_whatever_the_order_of_owners(spark):
+    """Shares of 3 to 40 owners that make exactly the threshold, or end halfway between two results."""
+    shares = {(whole, n): whole / n / 100000 for whole in (50000, 55555, 55565, 75575, 77475) for n in range(3, 41)}
+    edges = [(f"S{k}", f"{whole}.{n}", w) for (whole, n), w in shares.items() for k in range(n)]
+    got = {r.node: r.fraction for r in ownership.flag_blocked(*graph(spark, edges, [f"S{k}" for k in range(40)])).collect()}
+    want = {50000: 0.5, 55555: 0.5556, 55565: 0.5556, 75575: 0.7558, 77475: 0.7748}
+    assert got == {f"{whole}.{n}": want[whole] for whole, n in shares}
+
+
 def test_paths(spark):
     edges, nodes, listed = graph(spark, [("S", "A", 0.6), ("A", "B", 0.7), ("B", "A", 0.1), ("S", "B", 0.2), ("T", "S", 0.5)], ["S", "T"])
     rows = {tuple(r.path): round(r.weight, 6) for r in ownership.ownership_paths(edges, "S", "B").collect()}
