@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators import moves
 from palisade.operators.components import components
 from palisade.sources import scratch
 
@@ -85,10 +86,14 @@ def communities(edges: DataFrame, seed: int = 42, resolution: float = 1.0, least
     """node, community of the undirected graph, by Louvain's two phases in turn until neither raises modularity by least_rise.
 
     Nodes move between communities; then each community becomes one node, with what it holds inside as a loop, and these
-    move. Labels are ids of nodes.
+    move. Labels are ids of nodes. Up to moves.MOST_NODES nodes a round runs over blocks of neighbour lists, beyond that by
+    joins of tables; both give the same labels.
     """
     links = edges.filter("owner <> asset").select(F.least("owner", "asset").alias("a"), F.greatest("owner", "asset").alias("b")).distinct().withColumn("weight", F.lit(1.0))
     links, labels = scratch.cut(links, "links"), None
+    ends = scratch.cut(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "ends")
+    if 0 < ends.count() <= moves.MOST_NODES:
+        return moves.communities(links, ends, seed, resolution, least_rise)
     while True:
         found, rose = local_moves(links, seed, resolution, least_rise)
         up = found.select(F.col("node").alias("community"), F.col("community").alias("_up"))

@@ -527,6 +527,7 @@ def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = _trade(spark, sf_dir)
+    edges = scratch.cut(edges, "trade")
     labels = communities.communities(ownership.subgraph(edges, communities.largest_component(edges, nodes)))
     return labels.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from palisade.operators import communities, ownership
+from palisade.operators import communities, moves, ownership
 from palisade.operators.components import components
 
 
@@ -129,3 +129,27 @@ def test_communities_end_where_no_merge_or_move_gains(spark):
     assert all(quality({n: c if x == d else x for n, x in label.items()}) <= reached + 1e-5 for c in set(label.values()) for d in set(label.values()))
     assert all(quality(label | {n: c}) <= reached + 1e-5 for n in label for c in set(label.values()))
     assert reached > 0.7
+
+
+def test_communities_by_blocks_equal_those_by_tables_in_few_jobs(spark, monkeypatch):
+    """The rounds' jobs are what large graphs take long for, so they are counted too."""
+    rng = random.Random(9)
+    links = {tuple(rng.sample([f"{g}.{i}" for i in range(12)], 2)) for g in range(20) for _ in range(40)}
+    links |= {(f"{g}.{rng.randrange(12)}", f"{h}.{rng.randrange(12)}") for g in range(20) for h in range(20) if rng.random() < 0.4}
+    edges = spark.createDataFrame([*links, ("1.1", "1.1")], "owner string, asset string")
+    monkeypatch.setattr(moves, "ENTRIES", 300)  # several blocks at every level
+
+    def found(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            labels = {r.node: r.community for r in communities.communities(edges, least_rise=1e-4).collect()}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return labels, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    by_blocks, few = found("blocks")
+    monkeypatch.setattr(moves, "MOST_NODES", 0)
+    by_tables, many = found("tables")
+    assert by_blocks == by_tables
+    assert 1 < len(set(by_blocks.values())) < len(by_blocks)
+    assert 3 * few < many, (few, many)
