@@ -491,8 +491,8 @@ def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers and the customers they deliver to."""
     l, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c, s = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_suppkey", "c_custkey")
-    edges = pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("owner"), F.concat(F.lit("c"), "c_custkey").alias("asset")).distinct()
+    pairs = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_suppkey", "c_custkey").distinct()
+    edges = pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("owner"), F.concat(F.lit("c"), "c_custkey").alias("asset"))
     nodes = s.select(F.concat(F.lit("s"), "s_suppkey").alias("node")).unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("node")))
     return edges.withColumn("weight", F.lit(None).cast("double")), nodes
 
