@@ -37,7 +37,7 @@ BOX_BYTES = 1 << 20  # of tokens
 GROUP = 16
 PART_BYTES = 8 << 20  # of queries to a box, before it is copied to one more task
 HOT_POSTINGS = 4096
-EXPANDED = 1 << 21
+EXPANDED = 1 << 20
 HEAVY_ROWS = 200_000
 HEAVY_PER_TASK = 20_000
 BROADCAST_IDS = 1_000_000
@@ -102,8 +102,9 @@ def survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            chunk, cells, twice = sketch.packed(np.concatenate(held))
+            joined = np.concatenate(held)
             held.clear()
+            chunk, cells, twice = sketch.packed(joined)
             return _rows(1, chunk, None, None, None, cells, twice)
 
         for b in batches:
@@ -112,7 +113,7 @@ def survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 yield _rows(0, ids, s.n, s.digest(MIX[0]), s.digest(MIX[1]))
                 if not len(s.values):
                     continue
-                held.append(cells_of(s.values, bits))
+                held.append(cells_of(s.values, bits).astype(np.uint32))
                 new, often = np.unique(s.values, return_counts=True)
                 new, often = new[often > 2], often[often > 2]
                 tokens, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
@@ -141,7 +142,7 @@ def heavy_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> DataFrame:
-    """docs: id, text. id, n, d1, least token, how many tokens are its own, prefix tokens (8 bytes each) of sets that can link with another."""
+    """docs: id, text. id, n, d1, least token, how many tokens are its own, prefix tokens of sets that can link with another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (tokens, counts, bitmap) = WordHashes(), held.value
         for b in batches:
@@ -164,26 +165,17 @@ def prefix_sets(docs: DataFrame, held, size: int, percent: int, bits: int) -> Da
                 starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(s.n)))])
                 most = n_common - due + np.minimum(SHARED, due)
                 d1 = s.digest(MIX[0])
+                _, at = _spread(starts[able], (starts[:-1] + most)[able])
+                ends = np.concatenate([[0], np.cumsum(most[able])]).astype(np.int32)
                 yield pa.record_batch([pa.array([ids[i] for i in able], pa.int64()), pa.array(s.n[able]), pa.array(d1[able]), pa.array(s.values[s.starts[able]].view(np.int64)), pa.array((s.n - n_common)[able]),
-                                       pa.array([values[starts[i]:starts[i] + most[i]].tobytes() for i in able], pa.binary())], ["id", "n", "d1", "least", "own", "prefix"])
+                                       pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at].view(np.int64)))], ["id", "n", "d1", "least", "own", "prefix"])
 
-    return docs.mapInArrow(tidied(run), "id long, n long, d1 long, least long, own long, prefix binary")
-
-
-POSTINGS = "token long, own long, id long, n long, d1 long, least long"
+    return docs.mapInArrow(tidied(run), "id long, n long, d1 long, least long, own long, prefix array<long>")
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """A row for each prefix token."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in parts(b, 5):
-                prefixes = part.column(5).to_pylist()
-                which = np.repeat(np.arange(len(prefixes)), [len(p) // 8 for p in prefixes])
-                tokens = pa.array(np.frombuffer(b"".join(prefixes), np.int64))
-                yield pa.record_batch([tokens, *(part.column(k).take(pa.array(which)) for k in range(5))], ["token", "own", "id", "n", "d1", "least"])
-
-    return sets.select("own", "id", "n", "d1", "least", "prefix").mapInArrow(tidied(run), POSTINGS)
+    """A row for each prefix token. Without Python: a second worker for each task would stay until the executor idles."""
+    return sets.select(F.explode("prefix").alias("token"), "own", "id", "n", "d1", "least")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:

@@ -21,10 +21,10 @@ def fits(cells: float) -> bool:
 
 
 def packed(cells: np.ndarray, rows: int = 1, row: int = 0) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """By chunk of cells: number, the cells hit (2 bytes each), and a bit for each that is hit twice or more."""
-    cells = np.sort(cells)
+    """By chunk of cells: number, the cells hit (2 bytes each), and a bit for each that is hit twice or more. Sorts cells in place."""
+    cells.sort()
     first = np.concatenate([[True], cells[1:] != cells[:-1]])
-    twice = np.diff(np.append(np.flatnonzero(first), len(cells))) > 1
+    twice = np.append(~first[1:], False)[first]  # the next one is the same cell
     cells = cells[first]
     chunk, low = cells >> CHUNK_BITS, (cells & ((1 << CHUNK_BITS) - 1)).astype("<u2")
     cuts = np.flatnonzero(np.diff(chunk)) + 1

@@ -74,8 +74,9 @@ def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
         def out() -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 if held[r]:
-                    yield pa.record_batch([pa.array(x) for x in sketch.packed(np.concatenate(held[r]), ROWS, r)], ["chunk", "cells", "twice"])
+                    joined = np.concatenate(held[r])
                     held[r].clear()
+                    yield pa.record_batch([pa.array(x) for x in sketch.packed(joined, ROWS, r)], ["chunk", "cells", "twice"])
 
         for b in batches:
             for (part,) in slices(b, 0):
@@ -86,7 +87,7 @@ def merged_sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
                 key = np.unique(np.stack([owner[new].astype(np.uint64), least[new]]), axis=1)[1]
                 for r, cells in enumerate(cells_of(key, bits)):
-                    held[r].append(cells)
+                    held[r].append(cells.astype(np.uint32))
                 if sum(map(len, held[0])) > 1 << 20:
                     yield from out()
         yield from out()

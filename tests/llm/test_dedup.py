@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from palisade.llm import jaccard_groups, sketch, substring_dedup
@@ -164,3 +166,36 @@ def test_empty_tables(spark):
     assert jaccard_groups.keep_one(docs).count() == 0
     assert substring_dedup.remove_repeats(docs).count() == 0
     assert substring_dedup.rewrite(docs).count() == 0
+
+
+def test_prefixes_are_dealt_out_without_a_second_worker(spark):
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 5, 40]
+    rows = [(k, n, 10 + k, 20 + k, k, rng.integers(-9, 9, n).tolist()) for k, n in enumerate(sizes)]
+    sets = spark.createDataFrame(rows, "id long, n long, d1 long, least long, own long, prefix array<long>")
+    found = jaccard_groups.postings(sets)
+    assert "InArrow" not in found._jdf.queryExecution().toString()  # each one in a stage is a worker more for each task
+    assert sorted(map(tuple, found.collect())) == sorted((t, own, i, n, d1, least) for i, n, d1, least, own, prefix in rows for t in prefix)
+
+
+def test_a_stage_before_the_exchange_of_postings_has_one_worker(spark):
+    rows = documents(spark).selectExpr("doc_id AS id", "text")
+    held = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full(1 << 13, 255, np.uint8)))
+    plan = jaccard_groups.postings(jaccard_groups.prefix_sets(rows, held, 4, 85, 16))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.uint32])
+def test_packed_cells_take_little_memory(kind):
+    cells = np.random.default_rng(4).integers(0, 1 << 21, 1 << 20).astype(kind)
+    want = Counter(cells.tolist())
+    tracemalloc.start()
+    chunk, low, twice = sketch.packed(cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.8 * cells.nbytes, peak
+    got = {}
+    for c, x, t in zip(chunk.tolist(), low, twice, strict=True):
+        x = np.frombuffer(x, "<u2").astype(np.int64) + (c << sketch.CHUNK_BITS)
+        got |= dict(zip(x.tolist(), np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).tolist(), strict=True))
+    assert got == {c: int(n > 1) for c, n in want.items()}
